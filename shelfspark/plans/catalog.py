@@ -47,20 +47,33 @@ def _retail(build: Callable[[Retail], DataFrame]) -> Query:
     return lambda spark, folder: rounded(build(Retail(tuned(spark), folder)))
 
 
+# Feature table, models and predictions are stage tables: written once per application
+# and source folder, then read by every query downstream of them.
+_STAGES: dict[tuple, tuple[FormulaStages, ModelStages]] = {}
+
+
+def forget_stages() -> None:
+    """Make the next query build its stages again."""
+    _STAGES.clear()
+
+
+def _stages(spark: SparkSession, folder: str) -> tuple[FormulaStages, ModelStages]:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STAGES:
+        source = Retail(tuned(spark), folder)
+        formula = FormulaStages.from_sources(source, source.scope)
+        _STAGES[key] = (formula, ModelStages(formula.features, QUERY_ROUNDS))
+    return _STAGES[key]
+
+
 def _formula(build: Callable[[FormulaStages], DataFrame]) -> Query:
     """A query downstream of the feature table, with formula predictions."""
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        source = Retail(tuned(spark), folder)
-        return rounded(build(FormulaStages.from_sources(source, source.scope)))
-    return run
+    return lambda spark, folder: rounded(build(_stages(spark, folder)[0]))
 
 
 def _model(build: Callable[[ModelStages], DataFrame]) -> Query:
     """A query downstream of the fitted models."""
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        source = Retail(tuned(spark), folder)
-        return build(ModelStages.from_sources(source, source.scope, QUERY_ROUNDS))
-    return run
+    return lambda spark, folder: build(_stages(spark, folder)[1])
 
 
 def _mart(r: Retail) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators.decisions import decision_inputs, order_constraints, reorder_ac
 from ..operators.metrics import demand_metrics, stockout_metrics
 from ..operators.serving import kpi_summary
 from ..operators.splits import holdout_start, labelled_rows, split_metadata
-from ..session import checkpointed
+from ..session import staged
 from .features import feature_table
 
 
@@ -48,7 +48,7 @@ class Stages:
 
     @classmethod
     def from_sources(cls, sources, scope) -> "Stages":
-        return cls(checkpointed(feature_table(sources, scope)))
+        return cls(staged(feature_table(sources, scope), "features"))
 
     def demand_predictions(self) -> DataFrame:
         raise NotImplementedError
@@ -111,7 +111,7 @@ class ModelStages(Stages):
 
     @classmethod
     def from_sources(cls, sources, scope, rounds: int = 250, depth: int = 5) -> "ModelStages":
-        return cls(checkpointed(feature_table(sources, scope)), rounds, depth)
+        return cls(staged(feature_table(sources, scope), "features"), rounds, depth)
 
     @property
     def demand_model(self):
@@ -129,12 +129,13 @@ class ModelStages(Stages):
 
     def demand_predictions(self) -> DataFrame:
         if self._demand_out is None:
-            self._demand_out = checkpointed(modeling.forecast_demand(
-                self.demand_model, self.demand.rows, self.demand.start))
+            self._demand_out = staged(modeling.forecast_demand(
+                self.demand_model, self.demand.rows, self.demand.start), "demand-predictions")
         return self._demand_out
 
     def stockout_predictions(self) -> DataFrame:
         if self._stockout_out is None:
-            self._stockout_out = checkpointed(modeling.predict_stockout(
-                self.stockout_model, self.stockout.rows, self.stockout.start))
+            self._stockout_out = staged(modeling.predict_stockout(
+                self.stockout_model, self.stockout.rows, self.stockout.start),
+                "stockout-predictions")
         return self._stockout_out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,21 +40,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a folder only on a local master."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def stage_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfspark-checkpoint-"))
-    else:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+    return tempfile.mkdtemp(prefix="shelfspark-stage-")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write a stage result durably, as the hand-off between two stages."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage result as a table in the shared folder and read it back.
+
+    This is the hand-off between two stages: it cuts the lineage, survives the loss of
+    executors, and lets the next stage read only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{stage_folder(spark)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -663,7 +663,8 @@ def oracle_sql() -> dict[str, str]:
         "receipt_summary": text("SELECT * FROM receipt_summary", "receipt_summary"),
         "completed_po_lines": text(
             "SELECT po_id, po_line_id, vendor_id, completion_datetime, actual_lead_time_days, "
-            "po_fill_rate, on_time_delivery FROM completed_po", "completed_po"),
+            "round(po_fill_rate, 6) AS po_fill_rate, on_time_delivery FROM completed_po",
+            "completed_po"),
         "vendor_performance": pick("vendor_performance", [
             "vendor_id", "week_start_date", "vendor_avg_lead_time", "vendor_lead_time_std",
             "po_fill_rate", "on_time_delivery_rate"]),
