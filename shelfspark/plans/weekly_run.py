@@ -12,7 +12,7 @@ from ..operators import serving
 from ..operators.contracts import require_rows, require_unique
 from ..operators.decisions import require_valid_decisions
 from ..operators.modeling import demand_importance, stockout_importance, top_features
-from ..session import tuned
+from ..session import shuffle_width, tuned
 from ..sources.staging import require_outputs, write_mart
 from .decisions import ModelStages
 from .features import add_features, vendor_features
@@ -39,7 +39,10 @@ def run(sources, target: str, rounds: int = 250, importance: bool = True) -> dic
         require_rows(spark.read.parquet(paths["weekly_mart"]), "weekly mart"),
         KEY_COLUMNS, "weekly mart")
 
-    features = store("feature_table", add_features(mart, vendor_features(sources, sources.scope)))
+    # One shuffle by SKU serves every window and join of the feature step.
+    by_sku = mart.repartition(shuffle_width(spark), "sku_id")
+    features = store(
+        "feature_table", add_features(by_sku, vendor_features(sources, sources.scope)))
     stages = ModelStages(features, rounds)
     demand = store("demand_forecast_result", stages.demand_predictions())
     stockout = store("stockout_risk_result", stages.stockout_predictions())

@@ -196,8 +196,8 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM wms_goods_receipts GROUP BY po_id, po_line_id"""),
     "completed_po": (("erp_purchase_orders", "receipt_summary"), """
         SELECT p.po_id, p.po_line_id, p.vendor_id, r.completion_datetime,
-               date_diff('day', p.po_created_date, cast(r.completion_datetime AS date))
-                   AS actual_lead_time_days,
+               cast(date_diff('day', p.po_created_date, cast(r.completion_datetime AS date))
+                    AS int) AS actual_lead_time_days,
                CASE WHEN p.ordered_qty <> 0
                     THEN least(greatest(cast(r.accepted_qty AS double) / p.ordered_qty, 0), 1)
                     END AS po_fill_rate,
@@ -282,7 +282,7 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
                h.adjusted4 AS stockout_adjusted_sales_rolling_mean_4w,
                h.stockouts4 AS stockout_days_last_4w,
                1 - h.stockouts4 / cast(4 AS double) AS in_stock_rate_4w,
-               date_diff('week', date '{SCOPE.first_week}', d.week_start_date)
+               cast(date_diff('week', date '{SCOPE.first_week}', d.week_start_date) AS int)
                    AS sales_history_weeks,
                u.historical_promo_uplift, 0 AS promo_duration_days,
                7 * d.promo_flag AS promo_days_in_week, 0 AS promo_day_index,
@@ -352,7 +352,6 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
                      CASE WHEN coalesce(inventory_cover_weeks, 1e9) < 2
                             OR stockout_days_last_4w > 0 THEN 1 ELSE 0 END AS baseline_risk_pred
               FROM stockout_rows WHERE is_test) x"""),
-    "metric_split": ((), ""),
     "decision_rows": (("features", "demand_scored", "stockout_scored"), """
         SELECT f.*, d.demand_pred, s.stockout_risk_pred_proba, s.stockout_risk_pred_label
         FROM features f
@@ -413,7 +412,6 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
                     WHEN 'reduce' THEN '{REASON_REDUCE}' ELSE '{REASON_HOLD}' END AS action_reason
         FROM tiers"""),
 }
-del BLOCKS["metric_split"]
 
 
 def _split(rows: str) -> str:
@@ -579,7 +577,6 @@ def _kpis() -> str:
 def oracle_sql() -> dict[str, str]:
     keyed = KEY.split(", ")
     features = [*MART_COLUMNS, *FEATURE_COLUMNS]
-    reorder = _rounded(REORDER_COLUMNS, FUZZY)
     number = {"moq_qty", "unit_cost", "open_po_qty", "overdue_po_qty", "promo_flag",
               "manual_override_flag", "available_qty", "inbound_qty_next_1w",
               "inbound_qty_next_2w", "inbound_qty_next_4w", "inventory_position_qty",
@@ -673,7 +670,7 @@ def oracle_sql() -> dict[str, str]:
             "stockout_adjusted_sales"]),
         "lag_features": text(
             f"SELECT {KEY}, lag1 AS sales_lag_1w, lag4 AS sales_lag_4w, "
-            f"date_diff('week', date '{SCOPE.first_week}', week_start_date) "
+            f"cast(date_diff('week', date '{SCOPE.first_week}', week_start_date) AS int) "
             "AS sales_history_weeks FROM history", "history"),
         "rolling_features": text(
             f"SELECT {KEY}, mean4 AS sales_rolling_mean_4w, "

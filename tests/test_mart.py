@@ -1,0 +1,227 @@
+"""Mapping, weekly facts, grids and the mart on hand-written rows."""
+
+import random
+from datetime import date, datetime, timedelta
+
+import pytest
+from fixtures import D, MAPPING, SCOPE, TS, Sources, rows_of, table
+from pyspark.sql import functions as F
+
+from shelfspark.fixed_values import MART_COLUMNS
+from shelfspark.operators import inventory, overrides, promotions, purchasing, sales
+from shelfspark.operators.grids import PlanningScope, decision_grid, week_spine
+from shelfspark.plans.mart import weekly_mart
+
+
+def test_scope_wants_mondays():
+    with pytest.raises(ValueError):
+        PlanningScope(("A",), ("C",), "2025-01-07", "2025-01-13")
+
+
+def test_week_spine_includes_both_ends(spark):
+    days = spark.createDataFrame([(D("2025-01-08"),), (D("2025-01-20"),)], "d date")
+    assert rows_of(week_spine(days, "d"), "week_start_date") == [
+        (D("2025-01-06"),), (D("2025-01-13"),), (D("2025-01-20"),)]
+
+
+def test_grid_is_dense(spark):
+    grid = decision_grid(table(spark, "sku_master", [{}, {"sku_id": "S2"}]), SCOPE)
+    assert grid.count() == grid.distinct().count() == 2 * 2 * 2 * 13
+
+
+def test_mapping_validity_edges(spark):
+    mapping = table(spark, "sku_code_mapping", [
+        dict(source_system="OMS", source_sku_code="OMS-1", effective_from=D("2025-01-10"),
+             effective_to=D("2025-01-20")),
+        dict(source_system="OMS", source_sku_code="BAD", mapping_status="INVALID"),
+    ])
+    orders = table(spark, "oms_sales_orders", [
+        dict(order_line_id="before", order_datetime=TS("2025-01-09T23:59:59")),
+        dict(order_line_id="first", order_datetime=TS("2025-01-10T00:00:00")),
+        dict(order_line_id="last", order_datetime=TS("2025-01-20T23:59:59")),
+        dict(order_line_id="after", order_datetime=TS("2025-01-21T00:00:00")),
+        dict(order_line_id="invalid", oms_sku_code="BAD", order_datetime=TS("2025-01-12T00:00:00")),
+        dict(order_line_id="unknown", oms_sku_code="?", order_datetime=TS("2025-01-12T00:00:00")),
+    ])
+    kept = rows_of(sales.mapped_sales(orders, mapping), "order_line_id")
+    assert kept == [("first",), ("last",)]
+
+
+def test_monday_bucket_and_weekly_sums(spark):
+    mapping = table(spark, "sku_code_mapping", MAPPING)
+    orders = table(spark, "oms_sales_orders", [
+        dict(order_datetime=TS("2025-01-12T23:59:00"), ordered_qty=4, fulfilled_qty=3,
+             cancelled_qty=1, unit_selling_price=2.0),
+        dict(order_datetime=TS("2025-01-06T00:00:00"), unit_selling_price=4.0),
+        dict(order_datetime=TS("2025-01-13T00:00:00")),
+    ])
+    got = rows_of(sales.sales_weekly(orders, mapping), "week_start_date", "ordered_qty_1w",
+                  "fulfilled_qty_1w", "cancelled_qty_1w", "avg_selling_price",
+                  "order_line_count", "partial_fulfillment_flag")
+    assert got == [(D("2025-01-06"), 5, 4, 1, 3.0, 2, 1), (D("2025-01-13"), 1, 1, 0, 5.0, 1, 0)]
+
+
+def test_latest_snapshot_with_any_stockout(spark):
+    snapshots = table(spark, "wms_inventory_snapshot", [
+        dict(snapshot_datetime=TS("2025-01-06T08:00:00"), available_qty=0, stockout_flag=1),
+        dict(snapshot_datetime=TS("2025-01-08T08:00:00"), on_hand_qty=9, available_qty=9),
+    ])
+    got = rows_of(inventory.inventory_weekly(snapshots, table(spark, "sku_code_mapping", MAPPING)),
+                  "on_hand_qty", "available_qty", "stockout_flag")
+    assert got == [(9, 9, 1)]
+
+
+def po_week(spark, week, po=(), receipts=()):
+    mapping = table(spark, "sku_code_mapping", MAPPING)
+    out = purchasing.po_weekly(
+        table(spark, "erp_purchase_orders", po), table(spark, "wms_goods_receipts", receipts),
+        mapping, table(spark, "sku_master", [{}]), SCOPE)
+    row = out.filter((F.col("week_start_date") == D(week)) & (F.col("center_id") == "C1")).first()
+    return (row.inbound_qty_next_1w, row.inbound_qty_next_2w, row.inbound_qty_next_4w,
+            row.open_po_qty, row.overdue_po_qty)
+
+
+@pytest.mark.parametrize("moment, open_qty", [("07:59:59", 6), ("08:00:00", 10)])
+def test_receipt_cutoff(spark, moment, open_qty):
+    receipts = [dict(receipt_datetime=TS(f"2025-01-13T{moment}"), accepted_qty=4)]
+    assert po_week(spark, "2025-01-13", [{}], receipts)[3] == open_qty
+
+
+def test_over_receipt_leaves_nothing(spark):
+    receipts = [dict(receipt_datetime=TS("2025-01-07T09:00:00"), accepted_qty=12)]
+    assert po_week(spark, "2025-01-13", [{}], receipts) == (0, 0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("days, expected", [
+    (-1, (0, 0, 0, 10, 10)), (0, (10, 10, 10, 10, 0)), (6, (10, 10, 10, 10, 0)),
+    (7, (0, 10, 10, 10, 0)), (27, (0, 0, 10, 10, 0)), (28, (0, 0, 0, 10, 0)),
+])
+def test_inbound_horizons(spark, days, expected):
+    promised = D("2025-01-13") + timedelta(days)
+    assert po_week(spark, "2025-01-13", [dict(promised_delivery_date=promised)]) == expected
+
+
+def test_po_weekly_equals_pairwise_join(spark):
+    """The running-change form against brute force over every line and week."""
+    rng = random.Random(7)
+    po, receipts, expected = [], [], {}
+    for i in range(60):
+        created = date(2024, 12, 20) + timedelta(rng.randrange(90))
+        line = dict(po_id=f"P{i}", po_created_date=created, confirmed_qty=rng.randrange(0, 30),
+                    promised_delivery_date=created + timedelta(rng.randrange(50)),
+                    center_id=rng.choice(["C1", "C2"]))
+        po.append(line)
+        for _ in range(rng.randrange(4)):
+            receipts.append(dict(
+                po_id=line["po_id"], center_id=line["center_id"],
+                accepted_qty=rng.randrange(0, 20),
+                receipt_datetime=datetime.combine(created, datetime.min.time())
+                + timedelta(days=rng.randrange(60), hours=rng.choice([7, 8, 9]))))
+    week = date(2025, 1, 6)
+    while week <= date(2025, 3, 31):
+        cutoff = datetime.combine(week, datetime.min.time()) + timedelta(hours=8)
+        for center in ("C1", "C2"):
+            sums = [0] * 5
+            for line in po:
+                if line["center_id"] != center or line["po_created_date"] > week:
+                    continue
+                got = sum(r["accepted_qty"] for r in receipts
+                          if r["po_id"] == line["po_id"] and r["receipt_datetime"] < cutoff)
+                left = max(line["confirmed_qty"] - got, 0)
+                ahead = (line["promised_delivery_date"] - week).days
+                for at, hit in enumerate((0 <= ahead < 7, 0 <= ahead < 14, 0 <= ahead < 28,
+                                          True, ahead < 0)):
+                    sums[at] += left * hit
+            expected[(center, week)] = tuple(sums)
+        week += timedelta(7)
+    tables = (table(spark, "erp_purchase_orders", po), table(spark, "wms_goods_receipts", receipts),
+              table(spark, "sku_code_mapping", MAPPING))
+    out = purchasing.po_weekly(*tables, table(spark, "sku_master", [{}]), SCOPE)
+    got = {(r.center_id, r.week_start_date): (
+        r.inbound_qty_next_1w, r.inbound_qty_next_2w, r.inbound_qty_next_4w, r.open_po_qty,
+        r.overdue_po_qty) for r in out.collect()}
+    assert got == expected
+
+    lines = purchasing.po_position_lines(*tables, SCOPE).withColumn(
+        "left", F.greatest(F.col("confirmed_qty") - F.col("accepted_qty_as_of_week"), F.lit(0)))
+    summed = {(r.center_id, r.week_start_date): r.left for r in lines.groupBy(
+        "center_id", "week_start_date").agg(F.sum("left").alias("left")).collect()}
+    assert all(summed.get(key, 0) == value[3] for key, value in expected.items())
+
+
+def winner(spark, rows):
+    out = promotions.promotion_weekly(
+        table(spark, "md_promotion_calendar", rows), table(spark, "sku_code_mapping", MAPPING),
+        table(spark, "sku_master", [{}]), SCOPE)
+    return rows_of(out, "week_start_date", "promo_depth", "promo_type")
+
+
+def test_promotion_choice(spark):
+    week = D("2025-01-13")
+    assert winner(spark, [dict(promotion_id="1", planned_discount_rate=0.3),
+                          dict(promotion_id="2", planned_discount_rate=0.05,
+                               promo_priority="HIGH")]) == [(week, 0.05, "COUPON")]
+    assert winner(spark, [dict(promotion_id="1"), dict(promotion_id="2",
+                  planned_discount_rate=0.2)]) == [(week, 0.2, "COUPON")]
+    assert winner(spark, [dict(promotion_id="2", promo_type="PRICE_DISCOUNT"),
+                          dict(promotion_id="1")]) == [(week, 0.1, "COUPON")]
+
+
+def test_promotion_touches_every_overlapped_week(spark):
+    got = winner(spark, [dict(promo_start_date=D("2025-01-19"), promo_end_date=D("2025-01-27"))])
+    assert [row[0] for row in got] == [D("2025-01-13"), D("2025-01-20"), D("2025-01-27")]
+
+
+def test_promotion_must_lie_inside_the_mapping(spark):
+    mapping = table(spark, "sku_code_mapping", [dict(
+        source_system="MD", source_sku_code="MD-1", effective_from=D("2025-01-14"))])
+    out = promotions.promotion_weekly(table(spark, "md_promotion_calendar", [{}]), mapping,
+                                      table(spark, "sku_master", [{}]), SCOPE)
+    assert out.count() == 0
+
+
+def test_override_scope(spark):
+    rows = [
+        dict(override_id="1", channel_id=None, center_id="C1", override_type="old"),
+        dict(override_id="2", channel_id="A", center_id="", override_type="new",
+             created_at=TS("2025-01-02T09:00:00")),
+        dict(override_id="3", approval_status="PENDING", override_type="pending",
+             created_at=TS("2025-01-03T09:00:00")),
+        dict(override_id="4", sku_id="other"),
+        dict(override_id="5", effective_from=D("2025-01-14"), effective_to=D("2025-01-19")),
+    ]
+    out = overrides.override_weekly(table(spark, "manual_overrides", rows),
+                                    table(spark, "sku_master", [{}]), SCOPE)
+    assert rows_of(out, "channel_id", "center_id", "week_start_date", "override_type") == [
+        ("A", "C1", D("2025-01-13"), "new"), ("A", "C2", D("2025-01-13"), "new"),
+        ("B", "C1", D("2025-01-13"), "old")]
+
+
+def test_mart_fills_and_replicates(spark):
+    sources = Sources(
+        spark,
+        sku_master=[{}, {"sku_id": "S2", "default_vendor_id": "nobody"}],
+        oms_sales_orders=[dict(order_datetime=TS("2025-01-14T10:00:00"), ordered_qty=3,
+                               fulfilled_qty=2)],
+        wms_inventory_snapshot=[dict(snapshot_datetime=TS("2025-01-13T08:00:00"))],
+        erp_purchase_orders=[{}], md_promotion_calendar=[{}], manual_overrides=[{}])
+    mart = weekly_mart(sources, SCOPE)
+    assert mart.columns == MART_COLUMNS
+    assert mart.count() == 2 * 2 * 2 * 13
+    cell = mart.filter("sku_id = 'S1' AND center_id = 'C1' AND week_start_date = '2025-01-13'")
+    got = rows_of(cell, "channel_id", "ordered_qty_1w", "partial_fulfillment_flag",
+                  "available_qty", "inbound_qty_next_4w", "promo_flag", "manual_override_flag",
+                  "avg_selling_price", "vendor_country")
+    assert got == [("A", 3, 1, 5, 10, 1, 1, 5.0, "x"), ("B", 0, 0, 5, 10, 0, 1, None, "x")]
+    assert mart.filter("sku_id = 'S2' AND vendor_country IS NULL").count() == 52
+
+
+def test_panel_is_never_shuffled(spark):
+    """Only the SKU rows and aggregated facts are exchanged, never the exploded grid."""
+    sources = Sources(spark)
+    plan = weekly_mart(sources, SCOPE)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    first = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    grid = next(i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line)
+    assert first == grid, "an exchange sits above the SKU repartitioning of the panel"
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
