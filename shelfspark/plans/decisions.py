@@ -57,8 +57,12 @@ class Stages:
         raise NotImplementedError
 
     def inputs(self) -> DataFrame:
+        # Both predictions exist from the later hold-out start on; as a literal, that week
+        # prunes the scan of the feature table.
+        since = max(self.demand.start, self.stockout.start)
         return decision_inputs(
-            self.features, self.demand_predictions(), self.stockout_predictions())
+            self.features.filter(F.col("week_start_date") >= F.lit(since)),
+            self.demand_predictions(), self.stockout_predictions())
 
     def constrained(self) -> DataFrame:
         return order_constraints(self.inputs())

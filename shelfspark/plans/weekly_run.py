@@ -13,7 +13,7 @@ from ..operators.contracts import require_rows, require_unique
 from ..operators.decisions import require_valid_decisions
 from ..operators.modeling import demand_importance, stockout_importance, top_features
 from ..session import shuffle_width, tuned
-from ..sources.staging import require_outputs, write_mart
+from ..sources.staging import require_outputs, write_weekly
 from .decisions import ModelStages
 from .features import add_features, vendor_features
 from .mart import weekly_mart
@@ -33,15 +33,16 @@ def run(sources, target: str, rounds: int = 250, importance: bool = True) -> dic
         paths[name] = f"{target}/{name}"
         return _store(df, paths[name])
 
-    paths["weekly_mart"] = f"{target}/weekly_mart"
-    write_mart(weekly_mart(sources, sources.scope), paths["weekly_mart"])
-    mart = require_unique(
-        require_rows(spark.read.parquet(paths["weekly_mart"]), "weekly mart"),
-        KEY_COLUMNS, "weekly mart")
+    def store_weekly(name: str, df: DataFrame) -> DataFrame:
+        paths[name] = f"{target}/{name}"
+        return write_weekly(df, paths[name])
+
+    mart = store_weekly("weekly_mart", weekly_mart(sources, sources.scope))
+    require_unique(require_rows(mart, "weekly mart"), KEY_COLUMNS, "weekly mart")
 
     # One shuffle by SKU serves every window and join of the feature step.
     by_sku = mart.repartition(shuffle_width(spark), "sku_id")
-    features = store(
+    features = store_weekly(
         "feature_table", add_features(by_sku, vendor_features(sources, sources.scope)))
     stages = ModelStages(features, rounds)
     demand = store("demand_forecast_result", stages.demand_predictions())

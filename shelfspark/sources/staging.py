@@ -70,16 +70,17 @@ class Staged:
         return self.spark.read.schema(schema_of(name)).parquet(f"{self.folder}/{name}")
 
 
-def write_mart(mart: DataFrame, path: str, files_per_week: int = 8) -> None:
-    """Replace the mart, one folder per week, so that readers prune weeks.
+def write_weekly(df: DataFrame, path: str, files_per_week: int = 8) -> DataFrame:
+    """Replace a weekly table, one folder per week so that readers prune weeks; reads it back.
 
     Rows of a week are brought together first; without that every task would write a
     file into every week. The SKU keeps a week from landing in one task.
     """
     (
-        mart.repartition("week_start_date", F.pmod(F.xxhash64("sku_id"), F.lit(files_per_week)))
+        df.repartition("week_start_date", F.pmod(F.xxhash64("sku_id"), F.lit(files_per_week)))
         .write.mode("overwrite").partitionBy("week_start_date").parquet(path)
     )
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

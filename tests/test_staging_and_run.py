@@ -50,3 +50,17 @@ def test_sources_to_exports(spark, tmp_path):
     spark.read.parquet(paths["kpi_summary"]).filter("1 = 0").write.parquet(f"{out}/none")
     with pytest.raises(ValueError, match="empty outputs: none"):
         require_outputs(spark, {"none": f"{out}/none"})
+
+
+def test_reading_one_week_prunes_the_others(spark, tmp_path):
+    from shelfspark.plans.mart import weekly_mart
+    from shelfspark.sources.staging import write_weekly
+
+    mart = write_weekly(weekly_mart(busy_sources(spark), SCOPE), str(tmp_path / "mart"), 2)
+    assert mart.columns == MART_COLUMNS
+    week = mart.filter("week_start_date = DATE '2025-02-10'").select("sku_id", "ordered_qty_1w")
+    plan = week._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "FileScan" in line)
+    assert "PartitionFilters: [isnotnull(week_start_date" in scan
+    assert "ReadSchema: struct<sku_id:string,ordered_qty_1w:bigint>" in scan
+    assert week.count() == 4
