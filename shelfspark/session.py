@@ -14,16 +14,17 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Call-site capture per column costs more than planning does in expression-heavy plans.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+# Fixed once a session runs, so it only helps sessions built here: call-site capture per
+# column costs more than planning does in expression-heavy plans.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build_session(master: str | None = None, app: str = "shelfspark", **settings) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_SETTINGS, **settings}.items():
+    for key, value in {**START_SETTINGS, **RUNTIME_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

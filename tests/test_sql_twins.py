@@ -32,3 +32,14 @@ def test_entry(spark):
 def test_same_result(spark, con, name):
     ours = spark_entry.queries()[name](spark, FOLDER).toPandas()
     assert difference(ours, con.execute(spark_entry.oracle_sql()[name]).df()) is None
+
+
+def test_settings_can_be_applied_to_a_running_session(spark):
+    """A caller's own session may have none of the settings; all of them must be settable."""
+    from shelfspark.session import RUNTIME_SETTINGS, tuned
+
+    for key in RUNTIME_SETTINGS:
+        assert spark.conf.isModifiable(key), key
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(key, "true")
+    assert tuned(spark).conf.get(key) == "false"
