@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -33,12 +36,12 @@ def bounded_share(rows: int, bound: int, key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * bound / rows)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with at most `limit` characters each, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most `limit` bytes of text and `rows` rows each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for at, size in enumerate(sizes):
-        if at > start and total + size > limit:
+        if at > start and (total + size > limit or at - start >= rows):
             yield batch.slice(start, at - start)
             start, total = at, 0
         total += int(size)
@@ -61,8 +64,25 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return batch.set_column(at, name, values) if at >= 0 else batch.append_column(name, values)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: one zip per application, fetched from the driver."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as bundle:
+        for file in sorted(root.rglob("*.py")):
+            bundle.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(application)
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-__all__ = ["CHUNK_BYTES", "WORD", "bounded_share", "fold", "is_fold", "map_slices", "slices", "staged", "table", "with_column"]
+__all__ = ["CHUNK_BYTES", "WORD", "bounded_share", "fold", "is_fold", "map_slices", "ship_package", "slices", "staged", "table", "with_column"]

@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import langid, pii, quality_bt, toxicity
+from .common import is_fold, ship_package, table
 from .mixing import curriculum_mix, ordered_mix
 from .simhash_dedup import near_duplicates
 
 
+def op1_toxicity_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op2_mix_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     mix = ordered_mix(curriculum_mix(table(spark, folder, "documents")))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -22,10 +30,41 @@ def op3_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def op7_pii_crf(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"), pii.train())
+    counts = [F.regexp_count("base", F.lit(f"(?:^|,){kind}:")).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op8_quality_bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = quality_bt.score(docs, quality_bt.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", is_fold("doc_id", 3, 1).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op10_langid_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", is_fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, folder)
+    return run
+
+
+_ALL = {
+    "op1_toxicity_viterbi": op1_toxicity_viterbi,
     "op2_mix_curriculum": op2_mix_curriculum,
     "op3_simhash_trie": op3_simhash_trie,
+    "op7_pii_crf": op7_pii_crf,
+    "op8_quality_bradley_terry": op8_quality_bradley_terry,
+    "op10_langid_centroids": op10_langid_centroids,
 }
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(query) for name, query in _ALL.items()}
 
 ORACLE_SQL = {
     "op2_mix_curriculum": """
