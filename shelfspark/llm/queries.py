@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, quality_bt, toxicity
+from . import ann_scan, decontaminate, html_extract, langid, pfp_dedup, pii, quality_bt, toxicity
 from .common import is_fold, ship_package, table
 from .mixing import curriculum_mix, ordered_mix
 from .simhash_dedup import near_duplicates
@@ -30,6 +30,20 @@ def op3_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_suffix_prefix_free(spark: SparkSession, folder: str) -> DataFrame:
+    found = pfp_dedup.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_html_density(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
+def op6_decontaminate_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "similarity")
+
+
 def op7_pii_crf(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents"), pii.train())
     counts = [F.regexp_count("base", F.lit(f"(?:^|,){kind}:")).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
@@ -43,6 +57,11 @@ def op8_quality_bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_ann_dimension_scan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ann_scan.usable(table(spark, folder, "embeddings"))
+    return ann_scan.nearest(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op10_langid_centroids(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -60,8 +79,12 @@ _ALL = {
     "op1_toxicity_viterbi": op1_toxicity_viterbi,
     "op2_mix_curriculum": op2_mix_curriculum,
     "op3_simhash_trie": op3_simhash_trie,
+    "op4_suffix_prefix_free": op4_suffix_prefix_free,
+    "op5_html_density": op5_html_density,
+    "op6_decontaminate_simhash": op6_decontaminate_simhash,
     "op7_pii_crf": op7_pii_crf,
     "op8_quality_bradley_terry": op8_quality_bradley_terry,
+    "op9_ann_dimension_scan": op9_ann_dimension_scan,
     "op10_langid_centroids": op10_langid_centroids,
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(query) for name, query in _ALL.items()}

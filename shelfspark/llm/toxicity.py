@@ -173,11 +173,20 @@ def disguised_spans(data: bytes) -> list[tuple[int, int]]:
     return spans
 
 
+def traits(word: bytes) -> set[bytes]:
+    """What the lexicon may know a word by: its beginnings of 4 to 6 bytes, and itself with a blank behind it."""
+    return {word + b" "} | {word[:n] for n in (4, 5, 6) if len(word) >= n}
+
+
 @dataclass
 class ToxicityModel:
     logp: np.ndarray
     lexicon: dict[bytes, float] = field(default_factory=dict)
     curve: tuple[float, ...] = ()
+    heads: set[bytes] = field(default_factory=set)
+
+    def learn(self, lexicon: dict[bytes, float]) -> None:
+        self.lexicon, self.heads = lexicon, {trait.rstrip(b" ")[:4] for trait in lexicon}
 
     def words(self, text: str | None, cache: dict[bytes, bytes]) -> list[bytes]:
         """Plain words, and the restored ones of disguised spans."""
@@ -195,13 +204,15 @@ class ToxicityModel:
 
     def evidence(self, words: list[bytes]) -> tuple[float, float, float]:
         """Summed log odds of the lexicon's words met, their number, and their share of the words."""
-        return self.evidence_of([self.lexicon[w] for w in words if w in self.lexicon], len(words))
-
-    @staticmethod
-    def evidence_of(odds: list[float], words: int) -> tuple[float, float, float]:
+        odds = []
+        for word in words:
+            if word[:4] in self.heads:
+                best = max((self.lexicon[t] for t in traits(word) if t in self.lexicon), default=0.0)
+                if best:
+                    odds.append(best)
         if not odds:
             return 0.0, 0.0, 0.0
-        return np.log1p(sum(odds)), np.log1p(len(odds)), np.log1p(1000 * len(odds) / words)
+        return np.log1p(sum(odds)), np.log1p(len(odds)), np.log1p(1000 * len(odds) / len(words))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         if not self.curve:
@@ -233,14 +244,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, lexicon_wo
     """Count the character model over all documents, then learn lexicon and curve from labelled ones.
 
     Learns from rows whose crc32(doc_id) mod 4 is not 2, about `train_rows` of them at most, chosen by a hash
-    of the id. `lexicon_words` bounds the words kept, by significance. Without labels of both kinds every score is 0.
+    of the id. `lexicon_words` bounds the candidate traits, by significance. Without labels of both kinds every score is 0.
     """
     model = ToxicityModel(character_model(docs))
     marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
               .filter("doc_id is not null and label in (0, 1)").filter(~is_fold("doc_id", 4, 2)))
     chosen = bounded_share(marked.count(), train_rows, F.col("doc_id"))
     rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                  .filter(chosen).join(marked.filter(chosen), "doc_id").select("text", "label"), "toxicity-sample")
+                  .filter(chosen).join(marked.filter(chosen), "doc_id").select("text", "label").dropDuplicates(), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, bytes] = {}
@@ -248,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, lexicon_wo
             for part in slices(batch, "text"):
                 seen = (Counter(), Counter())
                 for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
-                    seen[label].update({*model.words(text, cache), b""})  # the empty word counts documents
+                    seen[label].update({b"", *(t for w in set(model.words(text, cache)) for t in traits(w))})  # the empty one counts documents
                 words = [*seen[0].keys() | seen[1].keys()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(words, pa.binary()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)],
@@ -260,45 +271,57 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, lexicon_wo
     # 2 * (observed * log ratio) of the toxic cells: how far the word stands out among toxic documents.
     odds = F.log((F.col("toxic") + 0.5) / (F.col("all_toxic") + 1)) - F.log((F.col("clean") + 0.5) / (F.col("all_clean") + 1))
     listed = (counted.filter("length(word) > 0").join(all_).withColumn("odds", odds)
-              .filter(F.col("odds") > 1.5).withColumn("weight", F.col("odds") * F.col("toxic"))
+              .filter(F.col("odds") > 3.0).withColumn("weight", F.col("odds") * F.col("toxic"))
               .filter(F.col("weight") > 12).orderBy(F.desc("weight"), "word").limit(lexicon_words).collect())
     candidates = {bytes(r["word"]): r["odds"] for r in listed}
-    names = list(candidates)
-    place = {word: k for k, word in enumerate(names)}
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, bytes] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                words = [model.words(t, cache) for t in part.column("text").to_pylist()]
-                hits = [[place[w] for w in found if w in place] for found in words]
-                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), pa.array([len(w) for w in words], pa.int64()),
-                                                  part.column("label")], ["hits", "n", "label"])
-
-    found = rows.mapInArrow(look_up, "hits array<int>, n long, label int").toPandas()
-    chosen_words = explaining_words([set(h) for h, y in zip(found["hits"], found["label"]) if y == 1],
-                                    [candidates[w] for w in names])
-    model.lexicon = {names[k]: candidates[names[k]] for k in chosen_words}
-    if model.lexicon:
-        evidence = [model.evidence_of([candidates[names[k]] for k in h if names[k] in model.lexicon], n)
-                    for h, n in zip(found["hits"], found["n"])]
-        model.curve = logistic(np.array(evidence), found["label"].to_numpy(np.float64))
+                found = [sorted({t for w in set(model.words(text, cache)) for t in traits(w) if t in candidates})
+                         for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], ["traits"])
+
+    toxic = rows.filter("label = 1").select("text").mapInArrow(look_up, "traits array<binary>").toPandas()["traits"]
+    model.learn(explaining(candidates, [{bytes(t) for t in found} for found in toxic]))
+    if not model.lexicon:
+        return model
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, bytes] = {}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                values = [model.evidence(model.words(t, cache)) for t in part.column("text").to_pylist()]
+                columns = [pa.array([float(v[k]) for v in values], pa.float64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, part.column("label")], ["a", "b", "c", "label"])
+
+    found = rows.mapInArrow(measure, "a double, b double, c double, label int").toPandas()
+    model.curve = logistic(found[["a", "b", "c"]].to_numpy(), found["label"].to_numpy(np.float64))
     return model
 
 
-def explaining_words(toxic: list[set[int]], odds: list[float], least_share: float = 0.01) -> list[int]:
-    """Words that explain toxic documents, the strongest first; what one explains counts for no other.
+def explaining(candidates: dict[bytes, float], toxic: list[set[bytes]], least_share: float = 0.005) -> dict[bytes, float]:
+    """The traits that explain toxic documents, strongest first, with their odds.
 
-    Copies of a toxic document share its harmless words too; these explain nothing that is left.
+    A document counts 1 / (1 + k) once k traits explain it: copies of a toxic document share harmless words
+    too, and these explain little that is left. A trait that begins with a chosen one adds nothing.
     """
-    left, chosen = toxic, []
-    while True:
-        count = Counter(k for words in left for k in words)
-        best = max(count, key=lambda k: (count[k] * odds[k], -k), default=None)
-        if best is None or count[best] < max(3, least_share * len(toxic)):
-            return chosen
-        chosen.append(best)
-        left = [words for words in left if best not in words]
+    where: dict[bytes, list[int]] = {}
+    for at, found in enumerate(toxic):
+        for trait in found:
+            where.setdefault(trait, []).append(at)
+    share, known, chosen = np.ones(len(toxic)), np.zeros(len(toxic)), {}
+    while where:
+        best = max(where, key=lambda t: (share[where[t]].sum() * candidates[t], t))
+        rows = where.pop(best)
+        if share[rows].sum() < max(3, least_share * len(toxic)):
+            break
+        chosen[best] = candidates[best]
+        known[rows] += 1
+        share = 1 / (1 + known)
+        where = {t: r for t, r in where.items() if not t.startswith(best)}
+    return chosen
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
