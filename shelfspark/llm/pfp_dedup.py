@@ -145,7 +145,7 @@ def parse(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 h, p, which, start, span = phrases([(t or "").encode() for t in part.column("text").to_pylist()], length)
                 if len(h):
                     held.append([h, p, ids[which], twins[which], start, span])
-                if sum(len(c[0]) for c in held) > 1_000_000:
+                if sum(len(c[0]) for c in held) > 500_000:
                     yield flush()
         if held:
             yield flush()
@@ -327,7 +327,7 @@ def repeated_ranges(docs: DataFrame, length: int, bucket_bytes: int, hot_entries
             .agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 32 << 20, hot_entries: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 8 << 20, hot_entries: int = 10_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept are the remaining bytes of its whole text.
 
     Null texts are empty. Rows of one doc_id never remove from each other. Rows with a null doc_id keep their text and
