@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import slices, staged
 
 WIDTH = 24
-CHUNK = 2 << 20
+CHUNK = 1 << 19
+PIECE = 4 << 20  # longer texts are parsed in pieces; places in a piece must fit 24 bits
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 FIELDS = (("h", np.uint64), ("p", np.uint32), ("doc", np.int64), ("twin", np.int64), ("start", np.uint32), ("span", np.uint8))
@@ -142,9 +143,17 @@ def parse(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", CHUNK):
                 ids, twins = part.column("doc_id").to_numpy(), part.column("twin").to_numpy()
-                h, p, which, start, span = phrases([(t or "").encode() for t in part.column("text").to_pylist()], length)
+                row, base, pieces = [], [], []
+                for k, text in enumerate(part.column("text").to_pylist()):
+                    data = text.encode()
+                    for a in range(0, max(len(data) - length + 1, 0), PIECE):
+                        row.append(k)
+                        base.append(a)
+                        pieces.append(data[a:a + PIECE + length - 1])
+                h, p, which, start, span = phrases(pieces, length)
                 if len(h):
-                    held.append([h, p, ids[which], twins[which], start, span])
+                    at = np.array(row)[which]
+                    held.append([h, p, ids[at], twins[at], start + np.array(base)[which], span])
                 if sum(len(c[0]) for c in held) > 500_000:
                     yield flush()
         if held:
