@@ -123,7 +123,7 @@ def unpack(blob: bytes, n: int) -> list[np.ndarray]:
 
 
 def parse(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, n, blob): packed phrases of all texts by the upper bits of their trigger's hash."""
+    """(bucket, n, blob): packed phrases of all texts, dealt by their trigger's hash."""
     bits = buckets.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,8 @@ def parse(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         def flush():
             columns = [np.concatenate(c) for c in zip(*held)]
             held.clear()
-            bucket = (columns[0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(columns[0]), np.int64)
+            # Triggers are smallest hashes, so their own upper bits are mostly zero.
+            bucket = (mixed(columns[0] + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(columns[0]), np.int64)
             order = np.argsort(bucket, kind="stable")
             found, begins = np.unique(bucket[order], return_index=True)
             columns = [c[order] for c in columns]
