@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_fold, slices
+from .common import is_fold, slices, staged
 
 DIMENSIONS = 4096
 CHUNK, CHUNK_ROWS = 1 << 20, 512
@@ -110,7 +110,8 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 3, reject: flo
     seen = np.zeros(DIMENSIONS + 1)
     seen[counted["gram"].to_numpy() + 1] = counted["n"].to_numpy()
     idf = np.log((1 + seen[0]) / (1 + seen[1:])) + 1
-    sizes = known.groupBy("lang").count()
+    # Written first, so that its size is known and texts are not dealt out by language.
+    sizes = staged(known.groupBy("lang").count(), "language-sizes")
     share = F.lit(float(1 << 30) * per_language) / F.col("count")
     sample = (known.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share)
               .select("lang", "text"))
