@@ -85,7 +85,8 @@ def po_segments(
     po = mapped_po(orders, mapping).withColumn(
         "start", F.greatest(first_monday_on_or_after(F.col("po_created_date")), scope.first)
     )
-    by_line = Window.partitionBy(*LINE).orderBy("counted_from")
+    # Lines that share an id but not their promise or quantity are positions of their own.
+    by_line = Window.partitionBy(*LINE, "promised_delivery_date", "confirmed_qty").orderBy("counted_from")
     so_far = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = (
         po.join(_receipts_by_week(receipts, mapping), LINE, "left")

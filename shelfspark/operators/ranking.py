@@ -17,8 +17,8 @@ COARSE, FINE = 2 ** 12, 2 ** 24
 
 
 def score_counts(rows: DataFrame, label: str, score: str, by=()) -> DataFrame:
-    """Positives and negatives per distinct score in [0, 1]."""
-    value = F.col(score).cast("double")
+    """Positives and negatives per distinct score in [0, 1]. A missing score is an error, not a lost row."""
+    value = F.coalesce(F.col(score).cast("double"), F.raise_error(F.lit(f"{score}: a row has no score")).cast("double"))
     return (
         rows.groupBy(*by, value.alias("score"))
         .agg(F.sum(F.col(label).cast("long")).alias("pos"),
