@@ -68,5 +68,7 @@ def lookup(key: Column, table: dict, default=None) -> Column:
     return chain if default is None else chain.otherwise(F.lit(default))
 
 
-def iso_date(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+def known(key: Column, table: dict, name: str) -> Column:
+    """``lookup`` that fails on a value the map does not have, NULL included."""
+    text = F.concat(F.lit(f"unknown {name}: "), F.coalesce(key, F.lit("NULL")))
+    return F.coalesce(lookup(key, table), F.raise_error(text).cast("double"))

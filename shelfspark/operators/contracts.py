@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import FORBIDDEN_FEATURES
@@ -50,6 +50,19 @@ def require_unique(df: DataFrame, keys, name: str) -> DataFrame:
     return df
 
 
+def unique_rows(df: DataFrame, keys, name: str) -> DataFrame:
+    """The same rows; the job that reads them fails when a key repeats.
+
+    The check is a window on the join keys, so a shuffle join that follows reuses its partitioning.
+    """
+    repeated = F.raise_error(F.lit(f"{name} has more than one row for some {', '.join(keys)}"))
+    return (
+        df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        .filter(F.when(F.col("_rows") > 1, repeated.cast("boolean")).otherwise(True))
+        .drop("_rows")
+    )
+
+
 def join_cardinality(left: DataFrame, right: DataFrame, keys, name: str) -> DataFrame:
     """How a join on ``keys`` relates: keys on both sides and the most rows per key."""
     sides = [

@@ -12,6 +12,7 @@ from ..fixed_values import (
     REORDER_COLUMNS,
 )
 from ..functions.columns import as_number, bounded, ceil_weeks
+from .contracts import require_columns, unique_rows
 
 ZERO_WHEN_MISSING = [
     "available_qty", "inbound_qty_next_1w", "inbound_qty_next_2w", "inbound_qty_next_4w",
@@ -25,13 +26,18 @@ def decision_inputs(features: DataFrame, demand: DataFrame, risk: DataFrame) ->
     """Feature rows that have both predictions; the cover stays uncapped.
 
     Keeping only rows with both is an inner join, so the predictions, which cover a few
-    weeks, are joined with each other first.
+    weeks, are joined with each other first. Both have one row per decision key, or the job
+    fails.
     """
+    require_columns(features, [*KEY_COLUMNS, *ZERO_WHEN_MISSING, "order_multiple",
+                               "inventory_cover_weeks"], "feature table")
+    risk_columns = ["stockout_risk_pred_proba", "stockout_risk_pred_label"]
+    require_columns(demand, [*KEY_COLUMNS, "demand_pred"], "demand predictions")
+    require_columns(risk, [*KEY_COLUMNS, *risk_columns], "stockout predictions")
     scored = (
-        demand.select(*KEY_COLUMNS, "demand_pred").join(
-            risk.select(*KEY_COLUMNS, "stockout_risk_pred_proba", "stockout_risk_pred_label"),
-            KEY_COLUMNS,
-        )
+        unique_rows(demand.select(*KEY_COLUMNS, "demand_pred"), KEY_COLUMNS, "demand predictions")
+        .join(unique_rows(risk.select(*KEY_COLUMNS, *risk_columns), KEY_COLUMNS,
+                          "stockout predictions"), KEY_COLUMNS)
         .filter(F.col("demand_pred").isNotNull() & F.col("stockout_risk_pred_proba").isNotNull())
     )
     return features.join(scored, KEY_COLUMNS)

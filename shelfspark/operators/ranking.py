@@ -64,7 +64,12 @@ def ranking_metrics(rows: DataFrame, label: str, score: str, by=()) -> DataFrame
     NULL where a class is missing: the area without both classes, the precision without
     positives.
     """
-    ranked = counts_above(score_counts(rows, label, score, by), by)
+    return metrics_of_counts(score_counts(rows, label, score, by), by)
+
+
+def metrics_of_counts(counts: DataFrame, by=()) -> DataFrame:
+    """The areas from ``score_counts``, which are read three times: store costly ones first."""
+    ranked = counts_above(counts, by)
     hits = F.col("pos_above") + F.col("pos")
     taken = hits + F.col("neg_above") + F.col("neg")
     sums = ranked.groupBy(*by).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import (
     FILL_RATE_PROXY, LEAD_TIME_STD_PROXY, ON_TIME_PROXY, SNAPSHOT_HOUR,
 )
-from ..functions.columns import bounded, flag, lookup, week_floor_of_cutoff
+from ..functions.columns import bounded, flag, known, week_floor_of_cutoff
 from .grids import PlanningScope, vendor_grid
 
 LINE = ["po_id", "po_line_id"]
@@ -49,7 +49,8 @@ def vendor_performance(
     ``vendors`` holds vendor_id, standard_lead_time_days and the three profile columns.
     Each completed line is added to the first week whose cutoff lies after it; moments
     are summed per vendor and week on the map side and then run up over the weeks, so
-    no line is paired with more than one week. Vendors without history get the proxies.
+    no line is paired with more than one week. Vendors without history get the proxies;
+    a profile without a proxy fails the job.
     """
     lead = F.col("actual_lead_time_days").cast("long")
     counted = F.greatest(
@@ -89,11 +90,11 @@ def vendor_performance(
         F.when(seen, F.col("past_lead") / n)
         .otherwise(F.col("standard_lead_time_days").cast("double")).alias("vendor_avg_lead_time"),
         F.when(F.col("past_n") >= 2, spread)
-        .otherwise(lookup(F.col("lead_time_profile"), LEAD_TIME_STD_PROXY))
+        .otherwise(known(F.col("lead_time_profile"), LEAD_TIME_STD_PROXY, "lead_time_profile"))
         .alias("vendor_lead_time_std"),
         F.when(seen, F.try_divide(F.col("past_filled"), F.col("past_filled_n")))
-        .otherwise(lookup(F.col("fill_rate_profile"), FILL_RATE_PROXY)).alias("po_fill_rate"),
+        .otherwise(known(F.col("fill_rate_profile"), FILL_RATE_PROXY, "fill_rate_profile")).alias("po_fill_rate"),
         F.when(seen, F.col("past_on_time") / n)
-        .otherwise(lookup(F.col("reliability_tier"), ON_TIME_PROXY))
+        .otherwise(known(F.col("reliability_tier"), ON_TIME_PROXY, "reliability_tier"))
         .alias("on_time_delivery_rate"),
     )

@@ -22,10 +22,6 @@ from .decisions import FormulaStages, ModelStages
 from .features import default_vendors, feature_table
 from .mart import weekly_mart
 
-# Boosting rounds of the registered model queries. The published setting, 250, is the
-# default of the library functions.
-QUERY_ROUNDS = 10
-
 # Results that hang on the order of adding fractions are compared at six places.
 FUZZY = {
     "sales_rolling_std_4w", "demand_volatility_index", "vendor_lead_time_std", "po_fill_rate",
@@ -62,7 +58,7 @@ def _stages(spark: SparkSession, folder: str) -> tuple[FormulaStages, ModelStage
     if key not in _STAGES:
         source = Retail(tuned(spark), folder)
         formula = FormulaStages.from_sources(source, source.scope)
-        _STAGES[key] = (formula, ModelStages(formula.features, QUERY_ROUNDS))
+        _STAGES[key] = (formula, ModelStages(formula.features))
     return _STAGES[key]
 
 

@@ -107,8 +107,10 @@ class ModelStages(Stages):
     The predictions are written out once, as every downstream table reads them again.
     """
 
-    def __init__(self, features: DataFrame, rounds: int = 250, depth: int = 5):
+    def __init__(self, features: DataFrame, rounds: int = 250, depth: int = 5, keep=None):
+        """``keep`` stores a table under a name and reads it back; by default a stage table."""
         super().__init__(features)
+        self.keep = keep or (lambda name, df: staged(df, name))
         self.rounds, self.depth = rounds, depth
         self._demand_model = self._stockout_model = None
         self._demand_out = self._stockout_out = None
@@ -133,13 +135,12 @@ class ModelStages(Stages):
 
     def demand_predictions(self) -> DataFrame:
         if self._demand_out is None:
-            self._demand_out = staged(modeling.forecast_demand(
-                self.demand_model, self.demand.rows, self.demand.start), "demand-predictions")
+            self._demand_out = self.keep("demand_forecast_result", modeling.forecast_demand(
+                self.demand_model, self.demand.rows, self.demand.start))
         return self._demand_out
 
     def stockout_predictions(self) -> DataFrame:
         if self._stockout_out is None:
-            self._stockout_out = staged(modeling.predict_stockout(
-                self.stockout_model, self.stockout.rows, self.stockout.start),
-                "stockout-predictions")
+            self._stockout_out = self.keep("stockout_risk_result", modeling.predict_stockout(
+                self.stockout_model, self.stockout.rows, self.stockout.start))
         return self._stockout_out

@@ -24,10 +24,21 @@ def _store(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def check_sources(sources) -> None:
+    """Tables whose rows others are joined to must have one row per key."""
+    for name, keys in (
+        ("sku_master", ["sku_id"]),
+        ("vendor_master", ["vendor_id"]),
+        ("erp_purchase_orders", ["po_id", "po_line_id"]),
+    ):
+        require_unique(require_rows(getattr(sources, name), name), keys, name)
+
+
 def run(sources, target: str, rounds: int = 250, importance: bool = True) -> dict[str, str]:
     """Run everything into ``target``; returns the path of each output table."""
     spark: SparkSession = tuned(sources.spark)
     paths: dict[str, str] = {}
+    check_sources(sources)
 
     def store(name: str, df: DataFrame) -> DataFrame:
         paths[name] = f"{target}/{name}"
@@ -44,13 +55,14 @@ def run(sources, target: str, rounds: int = 250, importance: bool = True) -> dic
     by_sku = mart.repartition(shuffle_width(spark), "sku_id")
     features = store_weekly(
         "feature_table", add_features(by_sku, vendor_features(sources, sources.scope)))
-    stages = ModelStages(features, rounds)
-    demand = store("demand_forecast_result", stages.demand_predictions())
-    stockout = store("stockout_risk_result", stages.stockout_predictions())
-    store("demand_model_metrics", stages.demand_metrics())
-    store("stockout_model_metrics", stages.stockout_metrics())
-    decisions = require_valid_decisions(store("reorder_action_result", stages.decisions()))
-    kpis = store("kpi_summary", stages.kpis())
+    require_unique(features, KEY_COLUMNS, "feature table")
+    stages = ModelStages(features, rounds, keep=store)
+    demand, stockout = stages.demand_predictions(), stages.stockout_predictions()
+    demand_scores = store("demand_model_metrics", stages.demand_metrics())
+    stockout_scores = store("stockout_model_metrics", stages.stockout_metrics())
+    decisions = store("reorder_action_result", stages.decisions())
+    require_valid_decisions(require_rows(decisions, "overlap of both predictions"))
+    kpis = store("kpi_summary", serving.kpi_summary(demand_scores, stockout_scores, decisions))
     if importance:
         store("demand_importance", top_features(demand_importance(
             stages.demand_model, stages.demand.rows, stages.demand.start)))

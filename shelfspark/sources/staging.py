@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
@@ -11,21 +11,39 @@ from ..operators.grids import PlanningScope
 from ..schemas import SOURCE_TABLES, schema_of
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Headered UTF-8 CSV, with or without a byte-order mark, cast to a declared schema.
+def read_text(spark: SparkSession, path: str, schema: StructType,
+              multi_line: bool = False) -> DataFrame:
+    """Headered UTF-8 CSV, with or without a byte-order mark, every column as text.
 
-    Columns are read as text and cast with ``try_cast``, so a blank, or text that is no
-    value of the type, becomes NULL instead of failing the job.
+    Line breaks inside quotes need ``multi_line``, which reads each file in one task.
     """
     text = StructType([StructField(field.name, StringType()) for field in schema])
-    rows = (
-        spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(path)
+    return (
+        spark.read.schema(text).option("header", True).option("enforceSchema", False)
+        .option("multiLine", multi_line).csv(path)
     )
+
+
+def typed(rows: DataFrame, schema: StructType) -> DataFrame:
+    """Text columns cast to a declared schema; a blank or unreadable text becomes NULL."""
     return rows.select(*[
         F.col(field.name).try_cast(field.dataType).alias(field.name) for field in schema
     ])
 
 
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return typed(read_text(spark, path, schema), schema)
+
+
+def rejected_counts(schema: StructType) -> list:
+    """Per column, the texts that are not blank and yet no value of the declared type."""
+    return [
+        F.count_if((F.trim(field.name) != "") & F.col(field.name).try_cast(field.dataType).isNull())
+        .alias(field.name)
+        for field in schema
+    ]
+
+
 def require_inputs(spark: SparkSession, paths: dict[str, str]) -> None:
     """Name every missing input in one error, before anything is written."""
     missing = []
@@ -40,18 +58,25 @@ def require_inputs(spark: SparkSession, paths: dict[str, str]) -> None:
         raise FileNotFoundError("missing inputs: " + ", ".join(missing))
 
 
-def stage_csv(spark: SparkSession, folder: str, target: str, tables=None) -> dict[str, int]:
+def stage_csv(spark: SparkSession, folder: str, target: str, tables=None,
+              allow_rejected: bool = False, multi_line: bool = False) -> dict[str, int]:
     """Rewrite the staging tables from ``folder/<table>.csv``; returns their row counts.
 
-    Rows read must equal rows stored.
+    Each file is parsed once: rows and unreadable values are counted while it is written. Rows
+    read must equal rows stored, and unreadable values are an error unless allowed.
     """
     tables = list(tables or SOURCE_TABLES)
     require_inputs(spark, {name: f"{folder}/{name}.csv" for name in tables})
     counts = {}
     for name in tables:
-        source = read_csv(spark, f"{folder}/{name}.csv", schema_of(name))
-        source.write.mode("overwrite").parquet(f"{target}/{name}")
-        read, stored = source.count(), spark.read.parquet(f"{target}/{name}").count()
+        schema, seen = schema_of(name), Observation()
+        rows = read_text(spark, f"{folder}/{name}.csv", schema, multi_line).observe(
+            seen, F.count(F.lit(1)).alias("_rows"), *rejected_counts(schema))
+        typed(rows, schema).write.mode("overwrite").parquet(f"{target}/{name}")
+        rejected = {column: n for column, n in seen.get.items() if n and column != "_rows"}
+        if rejected and not allow_rejected:
+            raise ValueError(f"{name}: unreadable values: {rejected}")
+        read, stored = seen.get["_rows"], spark.read.parquet(f"{target}/{name}").count()
         if read != stored:
             raise ValueError(f"{name}: {read} rows read but {stored} stored")
         counts[name] = stored

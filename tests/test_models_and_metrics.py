@@ -2,6 +2,7 @@
 
 import random
 from datetime import date, timedelta
+from statistics import median
 
 import pytest
 from fixtures import SCOPE, rows_of
@@ -118,6 +119,52 @@ def test_models_end_to_end(stages):
     assert model.train_rows == base.train_rows == 4 * 4
 
 
+def test_exact_medians(spark):
+    rows = [(float(i % 7), None if i % 3 else 0.25 * i, None, float("nan")) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, none double, nan double").repartition(5)
+    found = modeling.exact_medians(df, df.columns)
+    assert found == {"a": median(r[0] for r in rows),
+                     "b": median(r[1] for r in rows if r[1] is not None)}
+
+
+@pytest.fixture(scope="module")
+def learnable(spark, stages):
+    """20 SKUs and 30 weeks; demand hangs on promotion and SKU, stockouts on available stock."""
+    row = stages.stockout.rows.first()
+    n = F.col("id")
+    planted = {
+        "sku_id": F.concat(F.lit("S"), n % 20),
+        "week_start_date": F.date_add(F.lit(date(2024, 1, 1)), (F.floor(n / 20) * 7).cast("int")),
+        "promo_flag": (n * 13 % 5 < 2).cast("int"),
+        "available_qty": n * 31 % 100,
+        "inventory_cover_weeks": (n * 17 % 40) / 10,
+        "sales_rolling_mean_4w": F.lit(20.0),
+        "target_demand_next_1w": 5 + 20 * (n * 13 % 5 < 2).cast("int") + n % 20,
+        "target_stockout_risk_next_2w": (n * 31 % 100 < 15).cast("int"),
+    }
+    return spark.range(600).select(*[
+        planted.get(f.name, F.lit(row[f.name])).cast(f.dataType).alias(f.name)
+        for f in stages.features.schema])
+
+
+def test_models_beat_their_baselines_on_learnable_data(learnable):
+    fitted = ModelStages(learnable, rounds=8, depth=4)
+    wape = {r.model_name: r.wape for r in fitted.demand_metrics().collect()}
+    assert wape["GBTRegressor"] < 0.5 * wape["sales_rolling_mean_4w_baseline"]
+    areas = {r.model_name: r.pr_auc for r in fitted.stockout_metrics().collect()}
+    assert areas["GBTClassifier"] > 0.9 > areas["inventory_cover_stockout_rule_baseline"] + 0.3
+    top = modeling.top_features(modeling.stockout_importance(
+        fitted.stockout_model, fitted.stockout.rows, fitted.stockout.start, repeats=1), 1)
+    assert top.first().feature == "available_qty", "the planted feature comes first"
+
+
+def test_hashing_is_the_callers_choice(learnable, stages):
+    train = modeling._training_rows(learnable, date(2024, 6, 1), "target_demand_next_1w")
+    names = [type(s).__name__ for s in modeling.preprocessing(train, hash_width=64)]
+    assert "FeatureHasher" in names and "StringIndexer" not in names
+    assert "FeatureHasher" not in [type(s).__name__ for s in modeling.preprocessing(train)]
+
+
 def test_importance_covers_every_feature(stages):
     found = {r.feature: r.importance for r in modeling.demand_importance(
         stages.demand_model, stages.demand.rows, stages.demand.start, repeats=1).collect()}
