@@ -244,6 +244,7 @@ RETAIL_QUERIES: dict[str, Query] = {
     "feature_quality": _retail(lambda r: metrics.feature_quality(feature_table(r, r.scope))),
     "sku_detail": _retail(lambda r: serving.sku_detail(_mart(r))),
     "source_quality": _retail(quality.source_quality),
+    "facts_outside_scope": _retail(lambda r: quality.facts_outside_scope(r, r.scope)),
     "orphan_receipts": _retail(lambda r: quality.orphan_receipts(
         r.wms_goods_receipts, purchasing.mapped_po(r.erp_purchase_orders, r.sku_code_mapping))),
     "mapping_completeness": _retail(
@@ -296,6 +297,8 @@ FORMULA_QUERIES: dict[str, Query] = {
 MODEL_QUERIES: dict[str, Query] = {
     "demand_forecast_result": _model(lambda s: s.demand_predictions()),
     "stockout_risk_result": _model(lambda s: s.stockout_predictions()),
+    "model_result_audit": _model(lambda s: quality.prediction_audit(
+        s.demand_predictions(), s.stockout_predictions())),
     "model_demand_metrics": _model(lambda s: s.demand_metrics()),
     "model_stockout_metrics": _model(lambda s: s.stockout_metrics()),
     "model_reorder_actions": _model(lambda s: s.decisions()),

@@ -32,6 +32,15 @@ def _valid(system: str, alias: str, code: str, day: str, until: str | None = Non
         AND {until or day} <= coalesce(m.effective_to, date '9999-12-31')"""
 
 
+def _not_in(column: str, block: str, key: str) -> str:
+    return f"coalesce({column} NOT IN (SELECT {key} FROM {block}), true)"
+
+
+def _no_week(day: str) -> str:
+    return (f"NOT EXISTS (SELECT 1 FROM weeks w WHERE {day} >= w.week_start_date "
+            f"AND {day} < w.week_start_date + 7)")
+
+
 # Building blocks: name -> (retail tables or blocks it reads, SQL).
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     "weeks": ((), f"""
@@ -819,6 +828,33 @@ def oracle_sql() -> dict[str, str]:
             WHERE NOT EXISTS (SELECT 1 FROM mapped_po p WHERE p.po_id = r.po_id
                               AND p.po_line_id = r.po_line_id)""",
                                 "wms_goods_receipts", "mapped_po"),
+        "facts_outside_scope": text(" UNION ALL ".join(
+            f"SELECT '{table}' AS table_name, count(*) AS row_count, "
+            f"count(*) FILTER (WHERE {channel or 'false'}) AS outside_channels, "
+            f"count(*) FILTER (WHERE {center or 'false'}) AS outside_centers, "
+            f"count(*) FILTER (WHERE {week}) AS outside_weeks FROM {table}"
+            for table, channel, center, week in (
+                ("oms_sales_orders", _not_in("channel_id", "channels", "channel_id"),
+                 _not_in("fulfillment_center_id", "centers", "center_id"),
+                 _no_week("order_datetime")),
+                ("wms_inventory_snapshot", None, _not_in("center_id", "centers", "center_id"),
+                 _no_week("snapshot_datetime")),
+                ("erp_purchase_orders", None, _not_in("center_id", "centers", "center_id"),
+                 _no_week("po_created_date")),
+                ("wms_goods_receipts", None, _not_in("center_id", "centers", "center_id"),
+                 _no_week("receipt_datetime")),
+                ("md_promotion_calendar", _not_in("channel_id", "channels", "channel_id"), None,
+                 "NOT EXISTS (SELECT 1 FROM weeks w WHERE promo_start_date < w.week_start_date + 7"
+                 " AND promo_end_date >= w.week_start_date)"),
+            )), "oms_sales_orders", "wms_inventory_snapshot", "erp_purchase_orders",
+            "wms_goods_receipts", "md_promotion_calendar", "channels", "centers", "weeks"),
+        "model_result_audit": text("""
+            SELECT rule, rows_checked, 0 AS violations FROM (
+                SELECT unnest(['demand_not_negative', 'demand_error', 'demand_abs_error',
+                               'demand_ape']) AS rule, count(*) AS rows_checked
+                FROM demand_scored
+                UNION ALL SELECT unnest(['risk_is_probability', 'risk_label']), count(*)
+                FROM stockout_scored) x""", "demand_scored", "stockout_scored"),
         "mapping_completeness": text(f"""
             SELECT sku_id, coalesce(n, 0) AS system_count,
                    CASE WHEN n = 4 THEN 1 ELSE 0 END AS complete_flag

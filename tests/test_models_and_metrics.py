@@ -12,6 +12,7 @@ from test_features import busy_sources
 from shelfspark.fixed_values import NUMERIC_FEATURES
 from shelfspark.operators import metrics, modeling
 from shelfspark.operators.contracts import forbid_features
+from shelfspark.operators.quality import prediction_audit
 from shelfspark.operators.ranking import ranking_metrics
 from shelfspark.operators.splits import holdout_start
 from shelfspark.plans.decisions import ModelStages
@@ -115,6 +116,10 @@ def test_models_end_to_end(stages):
     assert risk.filter("stockout_risk_pred_proba NOT BETWEEN 0 AND 1").isEmpty()
     assert stages.decisions().count() == 7 * 4, "the hold-outs overlap in seven weeks"
     assert stages.kpis().count() == 30
+    audit = prediction_audit(demand, risk).collect()
+    assert {r.violations for r in audit} == {0} and {r.rows_checked for r in audit} == {8 * 4}
+    broken = prediction_audit(demand.withColumn("error", F.lit(None).cast("double")), risk)
+    assert broken.filter("violations > 0").first().rule == "demand_error"
     base, model = stages.demand_metrics().orderBy(F.col("model_name").desc()).collect()
     assert model.train_rows == base.train_rows == 4 * 4
 

@@ -10,7 +10,7 @@ CHECKED = [
     "week_spine", "sales_weekly", "inventory_weekly", "po_position_by_week", "po_weekly",
     "promotion_candidates", "override_candidates", "mart_validation", "completed_po_lines",
     "vendor_performance", "promo_uplift", "feature_quality", "source_quality",
-    "orphan_receipts", "mapping_completeness", "join_cardinality", "demand_metrics",
+    "orphan_receipts", "facts_outside_scope", "mapping_completeness", "join_cardinality", "demand_metrics",
     "stockout_metrics", "leakage_audit", "reorder_actions", "kpi_summary", "export_demand",
 ]
 
