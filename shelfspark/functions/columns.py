@@ -69,6 +69,6 @@ def lookup(key: Column, table: dict, default=None) -> Column:
 
 
 def known(key: Column, table: dict, name: str) -> Column:
-    """``lookup`` that fails on a value the map does not have, NULL included."""
-    text = F.concat(F.lit(f"unknown {name}: "), F.coalesce(key, F.lit("NULL")))
-    return F.coalesce(lookup(key, table), F.raise_error(text).cast("double"))
+    """``lookup`` that fails on a value the map does not have; NULL stays NULL."""
+    error = F.raise_error(F.concat(F.lit(f"unknown {name}: "), key)).cast("double")
+    return F.when(key.isNotNull(), F.coalesce(lookup(key, table), error))

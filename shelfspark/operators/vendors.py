@@ -50,7 +50,7 @@ def vendor_performance(
     Each completed line is added to the first week whose cutoff lies after it; moments
     are summed per vendor and week on the map side and then run up over the weeks, so
     no line is paired with more than one week. Vendors without history get the proxies;
-    a profile without a proxy fails the job.
+    a profile without a proxy fails the job, a vendor without a profile gets NULL.
     """
     lead = F.col("actual_lead_time_days").cast("long")
     counted = F.greatest(

@@ -5,17 +5,21 @@ Each stage is written before the next one reads it, and a failed contract stops
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..fixed_values import KEY_COLUMNS
 from ..operators import serving
-from ..operators.contracts import require_rows, require_unique
+from ..operators.contracts import orphans, require_rows, require_unique
 from ..operators.decisions import require_valid_decisions
 from ..operators.modeling import demand_importance, stockout_importance, top_features
 from ..session import shuffle_width, tuned
 from ..sources.staging import require_outputs, write_weekly
 from .decisions import ModelStages
-from .features import add_features, vendor_features
+from .features import VENDOR_PROFILE, add_features, vendor_features
 from .mart import weekly_mart
 
 
@@ -25,13 +29,20 @@ def _store(df: DataFrame, path: str) -> DataFrame:
 
 
 def check_sources(sources) -> None:
-    """Tables whose rows others are joined to must have one row per key."""
+    """One row per key where others join, a known vendor for every SKU, full vendor profiles."""
     for name, keys in (
         ("sku_master", ["sku_id"]),
         ("vendor_master", ["vendor_id"]),
         ("erp_purchase_orders", ["po_id", "po_line_id"]),
     ):
         require_unique(require_rows(getattr(sources, name), name), keys, name)
+    vendors = sources.vendor_master
+    wanted = sources.sku_master.select(F.col("default_vendor_id").alias("vendor_id"))
+    if not orphans(wanted, vendors, ["vendor_id"]).isEmpty():
+        raise ValueError("sku_master names a default vendor that vendor_master does not have")
+    if not vendors.select(*VENDOR_PROFILE).filter(
+            reduce(or_, [F.col(name).isNull() for name in VENDOR_PROFILE])).isEmpty():
+        raise ValueError(f"vendor_master has no value for some of {', '.join(VENDOR_PROFILE)}")
 
 
 def run(sources, target: str, rounds: int = 250, importance: bool = True) -> dict[str, str]:

@@ -40,11 +40,21 @@ def test_unique_rows_keep_rows_and_columns(spark):
 
 
 @pytest.mark.parametrize("column", ["lead_time_profile", "fill_rate_profile", "reliability_tier"])
-@pytest.mark.parametrize("value", ["ODD", None])
-def test_unknown_vendor_profile_fails(spark, column, value):
-    sources = Sources(spark, vendor_master=[{column: value}])
-    with pytest.raises(Exception, match=f"unknown {column}: {value or 'NULL'}"):
-        vendor_features(sources, SCOPE).collect()
+def test_unknown_vendor_profile_fails(spark, column):
+    odd = Sources(spark, vendor_master=[{column: "ODD"}])
+    with pytest.raises(Exception, match=f"unknown {column}: ODD"):
+        vendor_features(odd, SCOPE).collect()
+    # Without any profile the proxies stay empty in queries; the weekly run refuses it.
+    empty = Sources(spark, vendor_master=[{column: None}], erp_purchase_orders=[{}])
+    assert vendor_features(empty, SCOPE).count() == 13
+    with pytest.raises(ValueError, match="vendor_master has no value"):
+        check_sources(empty)
+
+
+def test_unknown_default_vendor_stops_the_run(spark):
+    sources = Sources(spark, sku_master=[{"default_vendor_id": "V9"}], erp_purchase_orders=[{}])
+    with pytest.raises(ValueError, match="default vendor that vendor_master does not have"):
+        check_sources(sources)
 
 
 @pytest.mark.parametrize("table", ["sku_master", "vendor_master", "erp_purchase_orders"])
