@@ -8,8 +8,10 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from shelfspark.llm import ann_scan, decontaminate, html_extract, mixing, pfp_dedup, simhash_dedup
-from shelfspark.llm.components import components
+from shelfspark.llm.common import staged
+from shelfspark.llm.components import _large_star, components
 from shelfspark.llm.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -33,6 +35,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_links_of_a_hub_are_split(spark):
+    """Adaptive execution finds plain shuffles under the join of a large star, so one hub is no single task."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {key: spark.conf.get(key, None) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        hub = spark.range(1, 200_001, numPartitions=8).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+        star = _large_star(staged(hub, "hub"))
+        rows = star.toPandas()
+        plan = star._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert len(rows) == 200_000 and (rows["v"] == 0).all()
+    assert "skew" in plan.lower()
+
+
 def _fingerprint(text):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[k:k + 4]) for k in range(max(1, len(words) - 3))] if words else []
