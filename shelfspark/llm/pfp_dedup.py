@@ -31,7 +31,8 @@ from .common import slices, staged
 
 WIDTH = 24
 CHUNK = 1 << 19
-PIECE = 4 << 20  # longer texts are parsed in pieces; places in a piece must fit 24 bits
+PIECE = 4 << 20  # longer texts are parsed in pieces, and so many bytes are joined at most
+PLACE_BITS = 24  # places in the bytes joined must fit
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 FIELDS = (("h", np.uint64), ("p", np.uint32), ("doc", np.int64), ("twin", np.int64), ("start", np.uint32), ("span", np.uint8))
@@ -71,9 +72,12 @@ class Hashes:
         return mixed((self.sums[width:] - self.sums[:n]) * self._down[:n])
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest of each run of `width` values, the leftmost on a tie of the upper 40 bits."""
-    key = (values & ~np.uint64((1 << 24) - 1)) | np.arange(len(values), dtype=np.uint64)
+def sliding_argmin(values: np.ndarray, width: int, place_bits: int = PLACE_BITS) -> np.ndarray:
+    """Place of the smallest of each run of `width` values, the leftmost on a tie of the bits above the place."""
+    if len(values) > 1 << place_bits:
+        raise ValueError(f"{len(values)} places do not fit {place_bits} bits")
+    low = np.uint64((1 << place_bits) - 1)
+    key = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     size = 1
     while 2 * size <= width:
         key = np.minimum(key[:-size], key[size:])
@@ -81,10 +85,10 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     if size < width:
         shift = width - size
         key = np.minimum(key[:-shift], key[shift:])
-    return (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return (key & low).astype(np.int64)
 
 
-def phrases(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def phrases(texts: list[bytes], length: int, place_bits: int = PLACE_BITS) -> tuple[np.ndarray, ...]:
     """(h, p, which text, start in it, strings - 1) of every phrase of some texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     offset = np.concatenate([[0], np.cumsum(sizes)])
@@ -94,7 +98,7 @@ def phrases(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint32, np.int64, np.int64, np.int64))
     hashes = Hashes(np.frombuffer(b"".join(texts), np.uint8))
     trigger = hashes.windows(WIDTH)
-    anchor = sliding_argmin(trigger, length - WIDTH + 1)
+    anchor = sliding_argmin(trigger, length - WIDTH + 1, place_bits)
     which = np.repeat(np.arange(len(texts)), strings)
     at = np.arange(total) + np.repeat(offset[:-1] - (np.cumsum(strings) - strings), strings)
     anchor = anchor[at]
@@ -122,7 +126,27 @@ def unpack(blob: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
-def parse(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+def pieces_of(texts: list[bytes], length: int, piece: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(which text, place in it, bytes) of the pieces of some texts, in groups of about `piece` bytes.
+
+    Every string of `length` bytes starts in one piece; a piece carries the bytes that its last strings need.
+    """
+    row, base, data, held = [], [], [], 0
+    for k, text in enumerate(texts):
+        for a in range(0, max(len(text) - length + 1, 0), piece):
+            part = text[a:a + piece + length - 1]
+            if held and held + len(part) > piece + length - 1:
+                yield row, base, data
+                row, base, data, held = [], [], [], 0
+            row.append(k)
+            base.append(a)
+            data.append(part)
+            held += len(part)
+    if held:
+        yield row, base, data
+
+
+def parse(docs: DataFrame, length: int, buckets: int, piece: int = PIECE, place_bits: int = PLACE_BITS) -> DataFrame:
     """(bucket, n, blob): packed phrases of all texts, dealt by their trigger's hash."""
     bits = buckets.bit_length() - 1
 
@@ -144,19 +168,13 @@ def parse(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", CHUNK):
                 ids, twins = part.column("doc_id").to_numpy(), part.column("twin").to_numpy()
-                row, base, pieces = [], [], []
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    data = text.encode()
-                    for a in range(0, max(len(data) - length + 1, 0), PIECE):
-                        row.append(k)
-                        base.append(a)
-                        pieces.append(data[a:a + PIECE + length - 1])
-                h, p, which, start, span = phrases(pieces, length)
-                if len(h):
+                texts = [text.encode() for text in part.column("text").to_pylist()]
+                for row, base, pieces in pieces_of(texts, length, piece):
+                    h, p, which, start, span = phrases(pieces, length, place_bits)
                     at = np.array(row)[which]
                     held.append([h, p, ids[at], twins[at], start + np.array(base)[which], span])
-                if sum(len(c[0]) for c in held) > 500_000:
-                    yield flush()
+                    if sum(len(c[0]) for c in held) > 500_000:
+                        yield flush()
         if held:
             yield flush()
 
@@ -326,18 +344,19 @@ def cut_out(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join([*kept, data[end:]]), runs
 
 
-def repeated_ranges(docs: DataFrame, length: int, bucket_bytes: int, hot_entries: int) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int, bucket_bytes: int, hot_entries: int, piece: int = PIECE, place_bits: int = PLACE_BITS) -> DataFrame:
     """(doc_id, twin, ranges) of documents with repeated strings."""
     total, = docs.agg(F.sum(F.octet_length("text"))).first()
     buckets = 1 << max(0, (-(-(total or 0) // bucket_bytes) - 1).bit_length())
-    found = staged(match_phrases(parse(docs, length, buckets), hot_entries), "phrase-matches")
+    found = staged(match_phrases(parse(docs, length, buckets, piece, place_bits), hot_entries), "phrase-matches")
     whole = found.filter("h is null").select("doc_id", "twin", F.col("start").alias("a"), (F.col("start") + F.col("span") + length).alias("b"))
     part = resolve(entry_texts(docs, found.filter("h is not null"), length), length)
     return (whole.unionByName(part).groupBy("doc_id", "twin")
             .agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 8 << 20, hot_entries: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 8 << 20, hot_entries: int = 10_000,
+                   piece: int = PIECE, place_bits: int = PLACE_BITS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept are the remaining bytes of its whole text.
 
     Null texts are empty. Rows of one doc_id never remove from each other. Rows with a null doc_id keep their text and
@@ -361,6 +380,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 8 << 2
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    whole = known.join(repeated_ranges(known, length, bucket_bytes, hot_entries), ["doc_id", "twin"], "left").mapInArrow(cut, schema)
+    whole = known.join(repeated_ranges(known, length, bucket_bytes, hot_entries, piece, place_bits), ["doc_id", "twin"], "left").mapInArrow(cut, schema)
     none = rows.filter("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<a:int,b:int>>")).mapInArrow(cut, schema)
     return whole.unionByName(none)

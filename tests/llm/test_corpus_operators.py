@@ -131,6 +131,40 @@ def test_mix_equals_sql(spark):
     assert (got[sql.columns] == sql).all().all()
 
 
+def _without_repeats(rows):
+    """What remove_repeats() should return, by brute force."""
+    data = [(d, (t or "").encode()) for d, t in rows]
+    first = {}
+    for d, b in data:
+        if d is not None:
+            for k in range(len(b) - 49):
+                first[b[k:k + 50]] = min(d, first.get(b[k:k + 50], d))
+    expected = Counter()
+    for d, b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49 if d is not None else 0):
+            if first[b[k:k + 50]] < d:
+                gone[k:k + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        expected[d, len(b), sum(gone), sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1])), hashlib.sha256(kept).hexdigest()] += 1
+    return expected
+
+
+def _found(kept):
+    return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in kept.collect())
+
+
+def test_repeats_of_texts_longer_than_the_places(frame):
+    """4,000 and 9,000 bytes with pieces of 200 and places of 10 bits: a text's places exceed what the bits hold."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = [say(rng.randrange(50, 400)) for _ in range(8)]
+    rows = [(1, say(4000)), (2, say(3000) + "".join(shared) + say(4000)), (3, say(700) + shared[7] + say(30) + shared[0]), (4, shared[3]), (5, say(2500) + shared[5])]
+    assert _found(pfp_dedup.remove_repeats(frame(rows), piece=200, place_bits=10)) == _without_repeats(rows)
+    with pytest.raises(ValueError):
+        pfp_dedup.phrases([b"x" * 2000], 50, place_bits=10)
+
+
 @pytest.mark.parametrize("hot", [10_000, 0])
 def test_repeats_removed_like_brute_force(frame, hot):
     rng = random.Random(4)
