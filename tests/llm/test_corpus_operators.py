@@ -165,6 +165,21 @@ def test_repeats_of_texts_longer_than_the_places(frame):
         pfp_dedup.phrases([b"x" * 2000], 50, place_bits=10)
 
 
+def test_phrases_that_agree_in_32_bits_are_apart(frame):
+    """Two texts with one trigger, no common string of 50 bytes, and hashes with equal upper 32 bits."""
+    def text(seed):
+        rng = random.Random(seed)
+        side = lambda: "".join(rng.choice("abcdefgh") for _ in range(26))
+        return side() + "oeykaqcfdowzpvsxlgrbaqck" + side()
+
+    for pair in ((162569, 190356), (125684, 195149), (18553, 282816)):
+        rows = list(enumerate(map(text, pair)))
+        h, p, *_ = pfp_dedup.phrases([t.encode() for _, t in rows], 50)
+        assert h[0] == h[1] and p[0] != p[1] and p[0] >> np.uint64(32) == p[1] >> np.uint64(32)
+        assert [h.dtype, p.dtype] == [x for _, x in pfp_dedup.FIELDS[:2]]
+        assert _found(pfp_dedup.remove_repeats(frame(rows))) == _without_repeats(rows)
+
+
 @pytest.mark.parametrize("hot", [10_000, 0])
 def test_repeats_removed_like_brute_force(frame, hot):
     rng = random.Random(4)
