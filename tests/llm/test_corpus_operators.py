@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from shelfspark.llm import ann_scan, decontaminate, html_extract, mixing, pfp_dedup, simhash_dedup
+from shelfspark.llm import ann_scan, decontaminate, html_extract, mixing, near_copies, pfp_dedup, simhash_dedup
 from shelfspark.llm.common import staged
 from shelfspark.llm.components import _large_star, components
 from shelfspark.llm.queries import ORACLE_SQL, QUERIES
@@ -94,6 +94,51 @@ def test_simhash_components(frame, group_rows):
     assert simhash_dedup.near_duplicates(frame([])).count() == 0
 
 
+def _near_copies_by_brute_force(rows):
+    """Ids kept of (doc_id, text): the smallest of each group linked by a 5-word Jaccard similarity of 0.8 or more."""
+    def grams(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = sorted({(d, grams(t)) for d, t in rows if d is not None}, key=lambda x: (x[0], len(x[1])))
+    group = list(range(len(sets)))
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    return Counter([d for d, _ in rows if d is None] + [min(sets[k][0] for k in range(len(sets)) if group[k] == g) for g in set(group)])
+
+
+@pytest.mark.parametrize("sample, rounds", [(4000, 4), (5, 0)])
+def test_near_copies_equal_brute_force(monkeypatch, frame, sample, rounds):
+    monkeypatch.setattr(near_copies, "SAMPLE_DOCS", sample)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    line = rng.choices(words, k=30)
+    rows, hub = [], rng.choices(words, k=200)
+    for k in range(60):
+        text = rng.choices(words, k=rng.randrange(1, 150)) + (line if k % 3 == 0 else [])
+        rows.append((k, " ".join(text)))
+        for j in range(k % 4):  # copies of copies, from barely changed to below 0.8
+            text = list(text)
+            for _ in range(rng.randrange(1, 2 + len(text) // 40)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((1000 + 10 * k + j, " ".join(text)))
+    for k in range(60):  # a large group around one text
+        text = list(hub)
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(200)] = rng.choice(words)
+        rows.append((3000 + k, " ".join(text)))
+    rows += [(5000, None), (5001, ""), (5002, "  "), (None, "w1 w2"), (None, rows[0][1]), (7, "w1 W2"), (7, "other words that it has only once"), (5003, "w1\nw2"),
+             (5004, "Z " * 30_000), (5005, "z z z z z"), (6000, "a b c d e f g h"), (6001, "a b c d e f g h i"), (6002, "a b c d e f g h i j k")]
+    kept = near_copies.keep_one(frame(rows)).collect()
+    expected = _near_copies_by_brute_force(rows)
+    assert Counter(r["doc_id"] for r in kept) == expected and len(expected) < 150
+    assert {(r["doc_id"], r["text"]) for r in kept} <= set(rows)
+    assert near_copies.keep_one(frame([])).count() == 0
+
+
 def test_mix_reaches_targets(frame):
     rng = random.Random(3)
     rows = [(k, "w " * rng.randrange(50), None, rng.choice(["a", "b", "c", "d", None])) for k in range(300)]
