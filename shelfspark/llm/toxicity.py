@@ -1,10 +1,10 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character 4-gram model is counted over all documents. Words that may be disguised (leet characters
-among letters, three or more equal letters, single letters set apart) become character lattices: a leet
+among letters, doubled letters, single letters or leet characters set apart) become character lattices: a leet
 character may stand for a letter or for nothing, a repeated letter may be a stutter, a separator may be
-padding. Viterbi takes the likeliest letters under the model. A word without any of these has one path
-only, itself. Restored and plain words meet a lexicon of log odds learned from labelled documents, and a
+padding or the end of a word. Viterbi takes the likeliest letters under the model. A word without any of these has
+one path only, itself. Restored and plain words meet a lexicon of log odds learned from labelled documents, and a
 logistic curve over the evidence gives the score.
 """
 
@@ -29,6 +29,7 @@ GRAMS = SYMBOLS ** 4
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SUBSTITUTE, NOISE, STUTTER, PADDING = 1.0, 4.0, 2.0, 0.5  # costs in nats
+GAP = 4  # bytes from one single character of a spaced run to the next, at most
 CACHE = 200_000
 
 
@@ -84,8 +85,12 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def restore(span: str, logp: np.ndarray) -> str:
-    """The likeliest letters behind a disguised span: Viterbi over its lattice, states are the last three symbols."""
+def restore(span: str, logp: np.ndarray, split: bool = False) -> str:
+    """The likeliest letters behind a disguised span: Viterbi over its lattice, states are the last three symbols.
+
+    With `split` it may be several words, with blanks between: a separator may end a word, separators outside of words
+    cost nothing, and equal letters set apart may be a stutter.
+    """
     table = symbol_table()
     paths = {(0, 0, 0): (0.0, None)}  # state -> (score, (letter, rest of the path))
     previous = ""
@@ -101,16 +106,23 @@ def restore(span: str, logp: np.ndarray) -> str:
             drop = NOISE if char != previous else STUTTER
         else:
             drop = PADDING
+            moves += [(" ", 0, 0.0)] if split else []
         after: dict[tuple, tuple] = {}
         for (a, b, c), (score, path) in paths.items():
-            if drop is not None and score - drop > after.get((a, b, c), (-1e300,))[0]:
-                after[a, b, c] = (score - drop, path)
+            cost = 0.0 if split and not (c or own or char in LEET) else drop
+            if cost is not None and score - cost > after.get((a, b, c), (-1e300,))[0]:
+                after[a, b, c] = (score - cost, path)
             for letter, symbol, cost in moves:
+                if not symbol and not c:
+                    continue
                 reached = score - cost + float(logp[a, b, c, symbol])
-                if reached > after.get((b, c, symbol), (-1e300,))[0]:
-                    after[b, c, symbol] = (reached, (letter, path))
-        paths, previous = after, char
-    _, path = max(((score + float(logp[a, b, c, 0]), path) for (a, b, c), (score, path) in paths.items()),
+                state = (b, c, symbol) if symbol else (0, 0, 0)
+                if reached > after.get(state, (-1e300,))[0]:
+                    after[state] = (reached, (letter, path))
+        paths = after
+        if not split or own or char in LEET:
+            previous = char
+    _, path = max(((score + (float(logp[a, b, c, 0]) if c or not split else 0.0), path) for (a, b, c), (score, path) in paths.items()),
                   key=lambda x: x[0])
     letters = []
     while path:
@@ -140,18 +152,17 @@ def disguised_spans(data: bytes) -> list[tuple[int, int]]:
     n = len(raw)
     at = lambda x, k: x[4 + k:4 + k + n]
     # A leet character between word start or letter on the left and a letter on the right; a doubled one;
-    # or one or two at the end of a word.
+    # or one or two at the end of a word; or a doubled letter.
     before = at(letter, -1) | at(blank, -1) | (at(leet, -1) & (at(letter, -2) | at(blank, -2)))
     inner = at(leet, 0) & before & (at(letter, 1) | (at(leet, 1) & at(letter, 2)))
     soft = (at(padded, 0) != ord("!")) & (at(padded, 0) != ord("|")) & (at(padded, 0) != ord("+"))
     ends = at(blank, 1) | (at(leet, 1) & at(blank, 2))
     last = at(leet, 0) & soft & at(letter, -1) & ends
     ascii_ = at(padded, 0) < 128
-    thrice = at(letter, 0) & ascii_ & (at(padded, 0) == at(padded, 1)) & (at(padded, 0) == at(padded, 2))
+    twice = at(letter, 0) & ascii_ & (at(padded, 0) == at(padded, 1))
     word = letter | ((padded >= 48) & (padded <= 57))
-    single = letter & ~np.concatenate([[False], word[:-1]]) & ~np.concatenate([word[1:], [False]])
-    apart = at(single, 0) & at(single, 2) & at(single, 4)
-    starts = np.flatnonzero(inner | last | thrice)
+    single = (letter | leet) & ~np.concatenate([[False], word[:-1]]) & ~np.concatenate([word[1:], [False]])
+    starts = np.flatnonzero(inner | last | twice)
     spans, end = [], 0
     if len(starts):
         edges = np.flatnonzero(at(blank, 0))
@@ -161,15 +172,14 @@ def disguised_spans(data: bytes) -> list[tuple[int, int]]:
             if a >= end:
                 spans.append((a, b))
                 end = b
-    last_end = -1
-    for a in np.flatnonzero(apart).tolist():
-        if a < last_end:
-            continue
-        b = a
-        while b + 2 < n and padded[4 + b + 2] != 32 and single[4 + b + 2]:
-            b += 2
-        spans.append((a, b + 1))
-        last_end = b + 1
+    # Runs of three or more single characters, a letter among them. What stands between is neither letter nor digit.
+    apart = np.flatnonzero(at(single, 0))
+    if len(apart) > 2:
+        edges = np.flatnonzero(np.diff(apart) > GAP) + 1
+        first, last_one = np.append(0, edges), np.append(edges, len(apart)) - 1
+        letters = np.append(0, np.cumsum(at(letter, 0)[apart]))
+        run = (last_one - first > 1) & (letters[last_one + 1] > letters[first])
+        spans += zip(apart[first[run]].tolist(), (apart[last_one[run]] + 1).tolist())
     return spans
 
 
@@ -188,18 +198,18 @@ class ToxicityModel:
     def learn(self, lexicon: dict[bytes, float]) -> None:
         self.lexicon, self.heads = lexicon, {trait.rstrip(b" ")[:4] for trait in lexicon}
 
-    def words(self, text: str | None, cache: dict[bytes, bytes]) -> list[bytes]:
-        """Plain words, and the restored ones of disguised spans."""
+    def words(self, text: str | None, cache: dict[bytes, list[bytes]]) -> list[bytes]:
+        """Plain words, and the restored ones of disguised spans where these differ."""
         data = (text or "").lower().encode("utf-8", "replace")
         found = data.translate(_PLAIN).split()
         for a, b in disguised_spans(data):
             span = data[a:b]
-            if (word := cache.get(span)) is None:
+            if (behind := cache.get(span)) is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                word = restore(span.decode("utf-8", "replace"), self.logp).encode()
-                cache[span] = word
-            found.append(word)
+                behind, plain = restore(span.decode("utf-8", "replace"), self.logp, split=True).encode().split(), span.translate(_PLAIN).split()
+                cache[span] = behind = [] if behind == plain else behind
+            found += behind
         return found
 
     def evidence(self, words: list[bytes]) -> tuple[float, float, float]:
@@ -254,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, lexicon_wo
                   .filter(chosen).join(marked.filter(chosen), "doc_id").select("text", "label").dropDuplicates(), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, bytes] = {}
+        cache: dict[bytes, list[bytes]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 seen = (Counter(), Counter())
@@ -276,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, lexicon_wo
     candidates = {bytes(r["word"]): r["odds"] for r in listed}
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, bytes] = {}
+        cache: dict[bytes, list[bytes]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [sorted({t for w in set(model.words(text, cache)) for t in traits(w) if t in candidates})
@@ -289,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, lexicon_wo
         return model
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, bytes] = {}
+        cache: dict[bytes, list[bytes]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 values = [model.evidence(model.words(t, cache)) for t in part.column("text").to_pylist()]
@@ -326,7 +336,7 @@ def explaining(candidates: dict[bytes, float], toxic: list[set[bytes]], least_sh
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) of every row, from its whole text alone; null and empty texts have the score of no evidence."""
-    cache: dict[bytes, bytes] = {}
+    cache: dict[bytes, list[bytes]] = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = model.scores(batch.column("text").to_pylist(), cache)
@@ -338,7 +348,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """The documents scoring below the threshold, every column unchanged. Rows with null ids or texts are judged like others."""
-    cache: dict[bytes, bytes] = {}
+    cache: dict[bytes, list[bytes]] = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = model.scores(batch.column("text").to_pylist(), cache) < threshold

@@ -40,6 +40,20 @@ def test_toxicity_restores_and_separates(spark, frame):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1002, 1002, 1003, 1004, 1005, 1006]
 
 
+def test_toxicity_of_spaced_and_doubled_words(spark, frame):
+    """Runs beside single letters of other words, with leet characters or wide separators, and doubled letters."""
+    docs, labels = _labelled(frame, spark)
+    model = toxicity.fit(docs, labels)
+    hidden = ["o l d w r e t c h", "w r e t c h t h e", "t h e f i e n d o f", "w r 3 t c h", "f 1 e n d", "f 1 3 n d", "w  r  e  t  c  h",
+              "w. r. e. t. c. h.", "f - i - e - n - d", "o l d   f 1 e n d", "wwrreettcchh", "ffiieenndd", "wrettch", "f i i e e n d"]
+    missed = [h for h in hidden if not {b"wretch", b"fiend"} & set(model.words(f"runs along {h} under quiet hills", {}))]
+    assert not missed
+    rows = [(k, f"the river runs along {h} under {h} quiet hills") for k, h in enumerate(hidden)]
+    rows += [(100, "t h e r i v e r r u n s"), (101, "1 2 3 4 5 6 7 8 9 0"), (102, "the hills, a b c d e f g"), (103, "o l d b r i d g e o f s t o n e"), (104, "q 1 " * 20_000)]
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(frame(rows), model).collect()}
+    assert [k for k, v in sorted(scores.items()) if v >= 0.3] == list(range(len(hidden)))
+
+
 def test_toxicity_without_labels_or_rows(spark, frame):
     docs, labels = _labelled(frame, spark, 8)
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).filter("score > 0").count() == 0
