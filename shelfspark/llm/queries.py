@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_scan, decontaminate, html_extract, langid, pfp_dedup, pii, quality_bt, toxicity
+from . import ann_scan, decontaminate, divergence, html_extract, langid, pfp_dedup, pii, quality_bt, spelling, stream_dedup, toxicity
 from .common import is_fold, ship_package, table
 from .mixing import curriculum_mix, ordered_mix
 from .simhash_dedup import near_duplicates
@@ -68,6 +68,19 @@ def op10_langid_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", is_fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_spelling_gram(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def op12_dedup_stream(spark: SparkSession, folder: str) -> DataFrame:
+    found = stream_dedup.exact_duplicates(spark, f"{folder}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_divergence_one_hot(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship_package(spark)
@@ -86,6 +99,9 @@ _ALL = {
     "op8_quality_bradley_terry": op8_quality_bradley_terry,
     "op9_ann_dimension_scan": op9_ann_dimension_scan,
     "op10_langid_centroids": op10_langid_centroids,
+    "op11_spelling_gram": op11_spelling_gram,
+    "op12_dedup_stream": op12_dedup_stream,
+    "op13_divergence_one_hot": op13_divergence_one_hot,
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(query) for name, query in _ALL.items()}
 
@@ -127,4 +143,83 @@ ORACLE_SQL = {
                CAST(greatest(least(size, floor(target) - start), 0)
                     + greatest(least(size, floor(target) - start - source_size), 0) AS BIGINT) AS taken
         FROM placed""",
+    # The checksum byte by byte from its table of 256, near words by what is left without one code point.
+    "op11_spelling_gram": """
+        WITH RECURSIVE crc_table AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(list_concat([i], range(8)),
+                    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+                FROM (SELECT unnest(range(256)) AS i))),
+        runs AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+            WHERE length(run) >= 7 GROUP BY ALL),
+        hashed AS (
+            SELECT run, n, length(run) AS size, xor(4294967295, list_reduce(list_concat([4294967295],
+                    list_transform(range(strlen(doc_id || ':' || run)),
+                        lambda i: CAST('0x' || substr(hex(encode(doc_id || ':' || run)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+                    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+            FROM runs, crc_table),
+        words AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+                SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % size) || substr(run, h % size + 2) ELSE run END AS word FROM hashed)
+            WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        cuts AS (
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        near AS (
+            SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+        best AS (
+            SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+        formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+                   CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+            FROM words w LEFT JOIN best USING (word)),
+        path AS (
+            SELECT word, word AS at, form AS next FROM formed
+            UNION ALL SELECT p.word, p.next, f.form FROM path p JOIN formed f ON p.next = f.word)
+        SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN path p ON p.word = f.word AND p.next IS NULL""",
+    "op12_dedup_stream": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    # Every term of a language against every group, zeros included.
+    "op13_divergence_one_hot": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[a-z\\x{80}-\\x{10FFFF}]+') AS found
+            FROM documents),
+        counts AS (
+            SELECT doc, lang, source, term, count(*) AS n FROM (SELECT doc, lang, source, unnest(found) AS term FROM docs) GROUP BY ALL),
+        kept AS (
+            SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM counts GROUP BY ALL HAVING count(*) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        cells AS (
+            SELECT lang, source, term, CAST(sum(c.n) AS HUGEINT) AS n FROM counts c JOIN kept k USING (lang, term) GROUP BY ALL),
+        groups AS (
+            SELECT g.lang, g.source, coalesce(s.total, 0) AS total
+            FROM (SELECT DISTINCT lang, source FROM docs) g
+            LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL) s ON g.lang = s.lang AND g.source = s.source),
+        priced AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // CAST(g.total + l.v AS HUGEINT) AS HUGEINT) AS p,
+                   CAST(1 + 1000000000::HUGEINT * (k.n + 1) // CAST(l.total + l.v AS HUGEINT) AS HUGEINT) AS lang_p
+            FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN cells c USING (lang, source, term)),
+        pairs AS (
+            SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+            FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+            LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+                       FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) d
+                ON d.lang = g.lang AND d.source = g.source AND d.item = o.source),
+        terms AS (
+            SELECT lang, source, 'term' AS part, term AS item, CAST((p - lang_p) * (p - lang_p) // lang_p AS BIGINT) AS value
+            FROM priced WHERE n > 0 AND p > lang_p)
+        SELECT lang, source, part, item, value, rank FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+            FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        WHERE part = 'pair' OR rank <= 200""",
 }
