@@ -245,7 +245,7 @@ def test_blocks_of_any_size_price_alike(monkeypatch, columns, rows_at_once):
         for y in cells:
             if x[:2] == y[:2] and x[2] != y[2]:
                 (p, p0), (q, q0) = x[4:], y[4:]
-                plain[x[0], x[2], y[2]] += sum(sign * (a - b) ** 2 // b for sign, a, b in ((1, p, q), (-1, p, q0), (-1, p0, q), (1, p0, q0)))
+                plain[x[0], x[2], y[2]] += sum(sign * ((a - b) ** 2 // b) for sign, a, b in ((1, p, q), (-1, p, q0), (-1, p0, q), (1, p0, q0)))
     monkeypatch.setattr(divergence, "COLUMNS", columns)
     monkeypatch.setattr(divergence, "ROWS", rows_at_once)
     names = ["lang", "term", "source", "n", "p", "p0"]
