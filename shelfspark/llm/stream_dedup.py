@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from ..session import stage_folder
 from .common import staged
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The state lies on disk; files grow as needed, as there is one small store for each partition of the state.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def text_of(column: str = "text") -> Column:
@@ -49,14 +53,15 @@ def drain(spark: SparkSession, path: str, folder: str, digest=sha256, batch_byte
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_STORE)
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         (seen.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
          .trigger(availableNow=True).start().awaitTermination())
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def retained(spark: SparkSession, folder: str) -> DataFrame:
