@@ -17,10 +17,11 @@ from ..operators import (
 from ..operators.baselines import with_demand_baseline, with_stockout_baseline
 from ..operators.ranking import ranking_metrics
 from ..session import tuned
-from ..sources.testbed import BASE_TABLES, RETAIL_TABLES, Retail
+from ..sources.testbed import BASE_TABLES, RETAIL_TABLES, SCOPE, Retail
 from .decisions import FormulaStages, ModelStages
 from .features import default_vendors, feature_table
 from .mart import weekly_mart
+from .model_store import ModelStore
 
 # Results that hang on the order of adding fractions are compared at six places.
 FUZZY = {
@@ -43,33 +44,44 @@ def _retail(build: Callable[[Retail], DataFrame]) -> Query:
     return lambda spark, folder: rounded(build(Retail(tuned(spark), folder)))
 
 
-# Feature table, models and predictions are stage tables: written once per application
-# and source folder, then read by every query downstream of them.
-_STAGES: dict[tuple, tuple[FormulaStages, ModelStages]] = {}
+# The feature table is a stage table: written once per application and source folder, then read
+# by every query downstream of it. Models and what they need are kept for later applications.
+_STAGES: dict[tuple, FormulaStages] = {}
+_MODEL_STAGES: dict[tuple, ModelStages] = {}
 
 
 def forget_stages() -> None:
     """Make the next query build its stages again."""
     _STAGES.clear()
+    _MODEL_STAGES.clear()
 
 
-def _stages(spark: SparkSession, folder: str) -> tuple[FormulaStages, ModelStages]:
+def _stages(spark: SparkSession, folder: str) -> FormulaStages:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STAGES:
         source = Retail(tuned(spark), folder)
-        formula = FormulaStages.from_sources(source, source.scope)
-        _STAGES[key] = (formula, ModelStages(formula.features))
+        _STAGES[key] = FormulaStages.from_sources(source, source.scope)
     return _STAGES[key]
 
 
+def _model_stages(spark: SparkSession, folder: str, rounds: int = 250, depth: int = 5) -> ModelStages:
+    key = (spark.sparkContext.applicationId, folder, rounds, depth)
+    if key not in _MODEL_STAGES:
+        store = ModelStore(tuned(spark), [f"{folder}/{name}.parquet" for name in BASE_TABLES],
+                           scope=repr(SCOPE), rounds=rounds, depth=depth)
+        _MODEL_STAGES[key] = ModelStages.stored(
+            store, lambda: _stages(spark, folder).features, rounds, depth)
+    return _MODEL_STAGES[key]
+
+
 def _formula(build: Callable[[FormulaStages], DataFrame]) -> Query:
     """A query downstream of the feature table, with formula predictions."""
-    return lambda spark, folder: rounded(build(_stages(spark, folder)[0]))
+    return lambda spark, folder: rounded(build(_stages(spark, folder)))
 
 
 def _model(build: Callable[[ModelStages], DataFrame]) -> Query:
     """A query downstream of the fitted models."""
-    return lambda spark, folder: build(_stages(spark, folder)[1])
+    return lambda spark, folder: build(_model_stages(spark, folder))
 
 
 def _mart(r: Retail) -> DataFrame:
@@ -297,8 +309,7 @@ FORMULA_QUERIES: dict[str, Query] = {
 MODEL_QUERIES: dict[str, Query] = {
     "demand_forecast_result": _model(lambda s: s.demand_predictions()),
     "stockout_risk_result": _model(lambda s: s.stockout_predictions()),
-    "model_result_audit": _model(lambda s: quality.prediction_audit(
-        s.demand_predictions(), s.stockout_predictions())),
+    "model_result_audit": _model(lambda s: quality.prediction_audit(*s.predictions())),
     "model_demand_metrics": _model(lambda s: s.demand_metrics()),
     "model_stockout_metrics": _model(lambda s: s.stockout_metrics()),
     "model_reorder_actions": _model(lambda s: s.decisions()),

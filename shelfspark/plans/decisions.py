@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from ..operators.serving import kpi_summary
 from ..operators.splits import holdout_start, labelled_rows, split_metadata
 from ..session import staged
 from .features import feature_table
+from .model_store import ModelStore
 
 
 @dataclass
@@ -56,13 +59,16 @@ class Stages:
     def stockout_predictions(self) -> DataFrame:
         raise NotImplementedError
 
+    def predictions(self) -> tuple[DataFrame, DataFrame]:
+        return self.demand_predictions(), self.stockout_predictions()
+
     def inputs(self) -> DataFrame:
         # Both predictions exist from the later hold-out start on; as a literal, that week
         # prunes the scan of the feature table.
         since = max(self.demand.start, self.stockout.start)
         return decision_inputs(
             self.features.filter(F.col("week_start_date") >= F.lit(since)),
-            self.demand_predictions(), self.stockout_predictions())
+            *self.predictions())
 
     def constrained(self) -> DataFrame:
         return order_constraints(self.inputs())
@@ -77,7 +83,8 @@ class Stages:
         return stockout_metrics(self.stockout_predictions(), self.stockout.metadata)
 
     def kpis(self) -> DataFrame:
-        return kpi_summary(self.demand_metrics(), self.stockout_metrics(), self.decisions())
+        decided = self.decisions()
+        return kpi_summary(self.demand_metrics(), self.stockout_metrics(), decided)
 
 
 class FormulaStages(Stages):
@@ -104,43 +111,66 @@ class FormulaStages(Stages):
 class ModelStages(Stages):
     """Predictions from the fitted boosted-tree models.
 
-    The predictions are written out once, as every downstream table reads them again.
+    The predictions are written out once, as every downstream table reads them again. With a
+    model store, models and predictions of an earlier process are loaded instead.
     """
 
-    def __init__(self, features: DataFrame, rounds: int = 250, depth: int = 5, keep=None):
+    def __init__(self, features: DataFrame, rounds: int = 250, depth: int = 5, keep=None,
+                 store: ModelStore | None = None):
         """``keep`` stores a table under a name and reads it back; by default a stage table."""
         super().__init__(features)
         self.keep = keep or (lambda name, df: staged(df, name))
+        self.store = store
         self.rounds, self.depth = rounds, depth
-        self._demand_model = self._stockout_model = None
-        self._demand_out = self._stockout_out = None
+        self._made: dict[str, object] = {}
 
     @classmethod
     def from_sources(cls, sources, scope, rounds: int = 250, depth: int = 5) -> "ModelStages":
         return cls(staged(feature_table(sources, scope), "features"), rounds, depth)
 
+    @classmethod
+    def stored(cls, store: ModelStore, build_features, rounds: int = 250, depth: int = 5) -> "ModelStages":
+        """On the features of the store; ``build_features`` makes them if there are none."""
+        return cls(store.table("features", build_features), rounds, depth, store=store)
+
+    def _once(self, name: str, make):
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    def _model(self, name: str, fit, labelled: Labelled):
+        def fitted():
+            return fit(labelled.rows, labelled.start, self.rounds, self.depth)
+        return self._once(name, lambda: self.store.model(name, fitted) if self.store else fitted())
+
+    def _table(self, name: str, build):
+        return self._once(name, lambda: self.store.table(name, build) if self.store
+                          else self.keep(name, build()))
+
     @property
     def demand_model(self):
-        if self._demand_model is None:
-            self._demand_model = modeling.fit_demand_model(
-                self.demand.rows, self.demand.start, self.rounds, self.depth)
-        return self._demand_model
+        return self._model("demand_model", modeling.fit_demand_model, self.demand)
 
     @property
     def stockout_model(self):
-        if self._stockout_model is None:
-            self._stockout_model = modeling.fit_stockout_model(
-                self.stockout.rows, self.stockout.start, self.rounds, self.depth)
-        return self._stockout_model
+        return self._model("stockout_model", modeling.fit_stockout_model, self.stockout)
 
     def demand_predictions(self) -> DataFrame:
-        if self._demand_out is None:
-            self._demand_out = self.keep("demand_forecast_result", modeling.forecast_demand(
-                self.demand_model, self.demand.rows, self.demand.start))
-        return self._demand_out
+        return self._table("demand_forecast_result", lambda: modeling.forecast_demand(
+            self.demand_model, self.demand.rows, self.demand.start))
 
     def stockout_predictions(self) -> DataFrame:
-        if self._stockout_out is None:
-            self._stockout_out = self.keep("stockout_risk_result", modeling.predict_stockout(
-                self.stockout_model, self.stockout.rows, self.stockout.start))
-        return self._stockout_out
+        return self._table("stockout_risk_result", lambda: modeling.predict_stockout(
+            self.stockout_model, self.stockout.rows, self.stockout.start))
+
+    def predictions(self) -> tuple[DataFrame, DataFrame]:
+        """Both tables. Models still missing are fitted side by side: a round of boosting is many
+        short jobs, which leave room for those of the other model."""
+        made = {"demand_forecast_result": "demand_model", "stockout_risk_result": "stockout_model"}
+        missing = [model for table, model in made.items() if table not in self._made
+                   and not (self.store and self.store.has(table))]
+        if len(missing) > 1:
+            fit = inheritable_thread_target(self.features.sparkSession)(lambda name: getattr(self, name))
+            with ThreadPoolExecutor(len(missing)) as pool:
+                list(pool.map(fit, missing))
+        return super().predictions()

@@ -68,7 +68,7 @@ def run(sources, target: str, rounds: int = 250, importance: bool = True) -> dic
         "feature_table", add_features(by_sku, vendor_features(sources, sources.scope)))
     require_unique(features, KEY_COLUMNS, "feature table")
     stages = ModelStages(features, rounds, keep=store)
-    demand, stockout = stages.demand_predictions(), stages.stockout_predictions()
+    demand, stockout = stages.predictions()
     demand_scores = store("demand_model_metrics", stages.demand_metrics())
     stockout_scores = store("stockout_model_metrics", stages.stockout_metrics())
     decisions = store("reorder_action_result", stages.decisions())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +63,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_folder(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: one zip per application, fetched from the driver."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as bundle:
+        for file in sorted(root.rglob("*.py")):
+            bundle.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(application)

@@ -176,3 +176,35 @@ def test_importance_covers_every_feature(stages):
     assert len(found) == 57
     # Equal up to the order of adding the errors.
     assert found["promo_duration_days"] == pytest.approx(0.0, abs=1e-9), "a constant cannot matter"
+
+
+@pytest.mark.parametrize("target", ["target_demand_next_1w", "target_stockout_risk_next_2w"])
+def test_scores_by_tree_equal_whole_rescoring(learnable, target):
+    """Trees left alone keep their output; the copies have the scores that the whole ensemble gives them."""
+    fitted = ModelStages(learnable, rounds=6, depth=4)
+    model, part = ((fitted.demand_model, fitted.demand) if target.startswith("target_demand")
+                   else (fitted.stockout_model, fitted.stockout))
+    rows = modeling.model_inputs(part.rows.filter(modeling.is_test(part.start)))
+    by_tree = modeling.permuted_scores(model, rows, target, repeats=2)
+    whole = model.transform(modeling.shuffled_copies(rows, target, repeats=2))
+    score = modeling._positive_probability() if "probability" in whole.columns else F.col("prediction")
+
+    def scores(df):
+        found = df.groupBy("repeat", "feature", "label").agg(
+            F.sort_array(F.collect_list(F.round("score", 9))).alias("s")).collect()
+        return {(r["repeat"], r["feature"], r["label"]): r["s"] for r in found}
+
+    a, b = scores(by_tree), scores(whole.withColumn("score", score))
+    assert a.keys() == b.keys() and len({k[1] for k in a}) == 57
+    for key, values in a.items():
+        assert values == pytest.approx(b[key], abs=1e-8), key
+
+
+def test_trees_that_split_on_a_feature_are_found(learnable):
+    from shelfspark.operators.tree_scores import Ensemble
+    fitted = ModelStages(learnable, rounds=6, depth=4)
+    model = fitted.stockout_model.stages[-1]
+    ensemble = Ensemble.of(model)
+    for slot in range(model.numFeatures):
+        used = [k for k, t in enumerate(model.trees) if t.featureImportances[slot] > 0]
+        assert ensemble.touched([slot]).tolist() == used
