@@ -10,8 +10,7 @@ from ..fixed_values import (
     DEMAND_TARGET, FINAL_THRESHOLD, KEY_COLUMNS, SPLIT_NAME, STOCKOUT_BASELINE_NAME,
     STOCKOUT_METRIC_COLUMNS, STOCKOUT_MODEL_NAME, STOCKOUT_TARGET,
 )
-from ..functions.columns import flag
-from .ranking import ranking_metrics
+from .ranking import score_histogram, threshold_metrics
 
 
 def regression_metrics(rows: DataFrame, actual: str, predicted: str, by=()) -> DataFrame:
@@ -89,60 +88,46 @@ def classification_rates(counts: DataFrame) -> DataFrame:
     })
 
 
-def classification_metrics(rows: DataFrame, label: str, by) -> DataFrame:
-    """Rates of the 0/1 column ``predicted`` and areas of the column ``score`` per group."""
-    rates = classification_rates(confusion_counts(rows, label, "predicted", by))
-    areas = ranking_metrics(rows, label, "score", by).drop("positives", "negatives")
-    return rates.join(areas, list(by))
-
-
 def stockout_metrics(predictions: DataFrame, metadata: DataFrame,
                      model_name: str = STOCKOUT_MODEL_NAME) -> DataFrame:
-    """The model at two thresholds and the rule baseline."""
-    proba, rule = F.col("stockout_risk_pred_proba"), F.col("baseline_risk_pred")
-
-    def candidate(name: str, threshold) -> Column:
-        at = F.lit(threshold).cast("double")
-        return F.struct(
-            F.lit(name).alias("model_name"),
-            F.lit(f"{name} at {threshold}").alias("candidate"),
-            at.alias("threshold"),
-            (rule if threshold is None else flag(proba >= at)).alias("predicted"),
-            (rule if threshold is None else proba).cast("double").alias("score"),
-        )
-
+    """The model at two thresholds and the rule baseline, from one histogram of scores."""
     rows = predictions.select(
         F.col(STOCKOUT_TARGET).alias("label"),
-        F.inline(F.array(candidate(model_name, DEFAULT_THRESHOLD),
-                         candidate(model_name, FINAL_THRESHOLD),
-                         candidate(STOCKOUT_BASELINE_NAME, None))),
-    )
-    rates = classification_rates(
-        confusion_counts(rows, "label", "predicted", ["model_name", "candidate", "threshold"])
-    )
-    once = rows.filter(F.col("threshold").isNull() | (F.col("threshold") == FINAL_THRESHOLD))
-    areas = ranking_metrics(once, "label", "score", ["model_name"])
-    return _with_metadata(rates.join(areas, "model_name"), metadata).select(
-        *STOCKOUT_METRIC_COLUMNS
-    )
+        F.inline(F.array(
+            F.struct(F.lit(model_name).alias("model_name"),
+                     F.col("stockout_risk_pred_proba").cast("double").alias("score")),
+            F.struct(F.lit(STOCKOUT_BASELINE_NAME).alias("model_name"),
+                     F.col("baseline_risk_pred").cast("double").alias("score")),
+        )))
+    # The rule's score is its label, so it is cut at 1 and names no threshold.
+    cuts = {str(DEFAULT_THRESHOLD): DEFAULT_THRESHOLD, str(FINAL_THRESHOLD): FINAL_THRESHOLD,
+            "label": 1.0}
+    found = threshold_metrics(
+        score_histogram(rows, "label", "score", ["model_name"]), cuts, ["model_name"]
+    ).filter((F.col("model_name") == STOCKOUT_BASELINE_NAME) == (F.col("at") == "label"))
+    at = F.when(F.col("at") != "label", F.col("at").cast("double"))
+    return _with_metadata(
+        classification_rates(found.withColumn("threshold", at)), metadata
+    ).select(*STOCKOUT_METRIC_COLUMNS)
 
 
 def leakage_audit(predictions: DataFrame, features: DataFrame) -> DataFrame:
     """Is this week's stockout flag alone as good as the model? Metrics side by side."""
     flags = features.select(*KEY_COLUMNS, "stockout_flag")
-    flag_now = F.coalesce(F.col("stockout_flag"), F.lit(0))
     rows = predictions.join(flags, KEY_COLUMNS, "left").select(
         F.col(STOCKOUT_TARGET).alias("label"),
         F.inline(F.array(
             F.struct(F.lit("stockout_flag").alias("predictor"),
-                     flag_now.cast("int").alias("predicted"),
-                     flag_now.cast("double").alias("score")),
+                     F.coalesce(F.col("stockout_flag"), F.lit(0)).cast("double").alias("score")),
             F.struct(F.lit("model").alias("predictor"),
-                     F.col("stockout_risk_pred_label").cast("int").alias("predicted"),
                      F.col("stockout_risk_pred_proba").cast("double").alias("score")),
         )),
     )
-    return classification_metrics(rows, "label", ["predictor"])
+    # The flag is cut at 1, the model where its label is.
+    cuts = {"stockout_flag": 1.0, "model": FINAL_THRESHOLD}
+    found = threshold_metrics(
+        score_histogram(rows, "label", "score", ["predictor"]), cuts, ["predictor"])
+    return classification_rates(found.filter("predictor = at").drop("at"))
 
 
 def target_rate_by_flag(predictions: DataFrame, features: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..session import staged
 
 COARSE, FINE = 2 ** 12, 2 ** 24
 
@@ -64,12 +65,16 @@ def ranking_metrics(rows: DataFrame, label: str, score: str, by=()) -> DataFrame
     NULL where a class is missing: the area without both classes, the precision without
     positives.
     """
-    return metrics_of_counts(score_counts(rows, label, score, by), by)
+    return metrics_of_counts(score_histogram(rows, label, score, by), by)
 
 
 def metrics_of_counts(counts: DataFrame, by=()) -> DataFrame:
     """The areas from ``score_counts``, which are read three times: store costly ones first."""
-    ranked = counts_above(counts, by)
+    return areas_of_running_counts(counts_above(counts, by), by)
+
+
+def areas_of_running_counts(ranked: DataFrame, by=(), more=()) -> DataFrame:
+    """The areas from ``counts_above``, and ``more`` aggregates of its rows in the same pass."""
     hits = F.col("pos_above") + F.col("pos")
     taken = hits + F.col("neg_above") + F.col("neg")
     sums = ranked.groupBy(*by).agg(
@@ -77,6 +82,7 @@ def metrics_of_counts(counts: DataFrame, by=()) -> DataFrame:
         F.sum("neg").alias("negatives"),
         F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / F.lit(2.0))).alias("pairs_won"),
         F.sum(F.col("pos") * (hits / taken)).alias("precision_sum"),
+        *more,
     )
     return sums.select(
         *by,
@@ -85,4 +91,39 @@ def metrics_of_counts(counts: DataFrame, by=()) -> DataFrame:
         ratio(F.col("pairs_won"),
               F.col("positives").cast("double") * F.col("negatives")).alias("roc_auc"),
         ratio(F.col("precision_sum"), F.col("positives")).alias("pr_auc"),
+        *[name for name in sums.columns
+          if name not in {*by, "positives", "negatives", "pairs_won", "precision_sum"}],
     )
+
+
+def score_histogram(rows: DataFrame, label: str, score: str, by=()) -> DataFrame:
+    """``score_counts`` written once: the one scan of the scored rows for every metric of theirs."""
+    return staged(score_counts(rows, label, score, by), "score-histogram")
+
+
+def at_threshold(threshold, name: str):
+    """(true positives, false positives) at a threshold as an aggregate over ``counts_above``: the
+    running counts at the lowest score that reaches it; 0 if none does."""
+    found = F.min_by(
+        F.struct((F.col("pos_above") + F.col("pos")).alias("true_positive"),
+                 (F.col("neg_above") + F.col("neg")).alias("false_positive")),
+        F.when(F.col("score") >= threshold, F.col("score")))
+    none = F.struct(F.lit(0).cast("long").alias("true_positive"), F.lit(0).cast("long").alias("false_positive"))
+    return F.coalesce(found, none).alias(name)
+
+
+def threshold_metrics(histogram: DataFrame, thresholds: dict[str, float], by=()) -> DataFrame:
+    """One row per group and named threshold (column ``at``): confusion counts and both areas, from
+    one pass over the running counts of a histogram."""
+    by = list(by)
+    more = [at_threshold(value, f"at_{k}") for k, value in enumerate(thresholds.values())]
+    areas = areas_of_running_counts(counts_above(histogram, by), by, more)
+    each = F.inline(F.array(*[
+        F.struct(F.lit(name).alias("at"), F.col(f"at_{k}.true_positive"), F.col(f"at_{k}.false_positive"))
+        for k, name in enumerate(thresholds)]))
+    rows = areas.select(*by, "positives", "negatives", "roc_auc", "pr_auc", each)
+    return rows.select(
+        *by, "at",
+        (F.col("negatives") - F.col("false_positive")).alias("true_negative"), "false_positive",
+        (F.col("positives") - F.col("true_positive")).alias("false_negative"), "true_positive",
+        "roc_auc", "pr_auc")

@@ -13,7 +13,7 @@ from shelfspark.fixed_values import NUMERIC_FEATURES
 from shelfspark.operators import metrics, modeling
 from shelfspark.operators.contracts import forbid_features
 from shelfspark.operators.quality import prediction_audit
-from shelfspark.operators.ranking import ranking_metrics
+from shelfspark.operators.ranking import ranking_metrics, score_histogram, threshold_metrics
 from shelfspark.operators.splits import holdout_start
 from shelfspark.plans.decisions import ModelStages
 
@@ -208,3 +208,32 @@ def test_trees_that_split_on_a_feature_are_found(learnable):
     for slot in range(model.numFeatures):
         used = [k for k, t in enumerate(model.trees) if t.featureImportances[slot] > 0]
         assert ensemble.touched([slot]).tolist() == used
+
+
+def test_confusion_at_thresholds_from_one_histogram(spark):
+    """Thresholds on, between, above and below the scores, per group, against plain counts."""
+    rng = random.Random(4)
+    rows = [(g, round(rng.random(), 1 if g == "a" else 3), int(rng.random() < 0.3)) for g in "ab" for _ in range(200)]
+    rows += [("c", 0.25, 1), ("d", 1.0, 0)]
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+    cuts = {"all": 0.0, "on": 0.4, "between": 0.45, "one": 1.0, "none": 1.5}
+    found = {(r.g, r["at"]): (r.true_negative, r.false_positive, r.false_negative, r.true_positive)
+             for r in threshold_metrics(score_histogram(df, "y", "s", ["g"]), cuts, ["g"]).collect()}
+    assert found == {(g, name): tuple(
+        sum(x == g and y == label and (s >= cut) == taken for x, s, y in rows)
+        for label, taken in ((0, False), (0, True), (1, False), (1, True)))
+        for g in "abcd" for name, cut in cuts.items()}
+
+
+def test_metrics_scan_the_predictions_once(spark, stages, monkeypatch):
+    """The histogram is written by one job; everything else reads it."""
+    from shelfspark.operators import ranking
+    written = []
+    monkeypatch.setattr(ranking, "staged", lambda df, name: written.append(name) or real(df, name))
+    real = __import__("shelfspark.session", fromlist=["staged"]).staged
+    predictions = stages.stockout_predictions()
+    scored = metrics.stockout_metrics(predictions, stages.stockout.metadata)
+    assert written == ["score-histogram"]
+    files = {f.split("/")[-2] for f in scored.inputFiles()}
+    assert not files & {f.split("/")[-2] for f in predictions.inputFiles()}
+    assert scored.count() == 3
