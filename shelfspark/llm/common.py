@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import ship_package, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 8 << 20
@@ -64,25 +61,17 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return batch.set_column(at, name, values) if at >= 0 else batch.append_column(name, values)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run: one zip per application, fetched from the driver."""
-    application = spark.sparkContext.applicationId
-    if application in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(path, "w") as bundle:
-        for file in sorted(root.rglob("*.py")):
-            bundle.write(file, file.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(path))
-    _SHIPPED.add(application)
+def release(written: DataFrame) -> None:
+    """Delete a table that `staged` wrote, once all that is read from it is written itself."""
+    spark = written.sparkSession
+    folders = {file.rsplit("/", 1)[0] for file in written.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-__all__ = ["CHUNK_BYTES", "WORD", "bounded_share", "fold", "is_fold", "map_slices", "ship_package", "slices", "staged", "table", "with_column"]
+__all__ = ["CHUNK_BYTES", "WORD", "bounded_share", "fold", "is_fold", "map_slices", "release", "ship_package", "slices", "staged", "table", "with_column"]
