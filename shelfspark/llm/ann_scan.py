@@ -4,7 +4,8 @@ Vectors are dealt to the lists of a k-means fitted on a bounded sample; a query
 the nearest centers. In a list, vectors and queries are rotated at random and compared in blocks of
 columns: after each block a candidate is abandoned if its partial distance, scaled up, exceeds the best
 k so far by more than a hypothesis test allows. Survivors get their exact distance on the original vectors.
-A list with more than `part_rows` vectors is split into parts that are searched apart.
+The nearest list of a query is searched first; its k-th distance is the bound with which all others begin.
+A list with more than `part_rows` vectors is split into parts, its queries into blocks, that are searched apart.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def rotation(width: int, seed: int = 11) -> np.ndarray:
 
 
 def scan(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, epsilon: float,
-         turn: np.ndarray) -> list[tuple[int, int, float]]:
-    """(query, row of vectors, distance) of the k nearest survivors of each query."""
+         turn: np.ndarray, bounds: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(query, row of vectors, distance) of the k nearest survivors of each query, none beyond its bound (a distance)."""
     a, b = queries @ turn, vectors @ turn
     width, out = vectors.shape[1], []
     for q in range(len(queries)):
@@ -65,6 +66,8 @@ def scan(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndar
         part = ((b[alive, :BLOCK] - a[q, :BLOCK]) ** 2).sum(axis=1)
         lead = alive[np.argpartition(part, min(k, len(alive)) - 1)[:k]]
         bound = ((b[lead] - a[q]) ** 2).sum(axis=1).max() if len(alive) > k else np.inf
+        if bounds is not None:
+            bound = min(bound, bounds[q] ** 2 + 1e-12 * (a[q] @ a[q]))  # rotating rounds
         done = min(BLOCK, width)
         while True:
             stay = part * (width / done) <= bound * (1 + epsilon / np.sqrt(done)) ** 2 if done < width else part <= bound * (1 + 1e-9)
@@ -81,22 +84,22 @@ def scan(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndar
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probe_share: float = 0.6,
-            sample_rows: int = 20_000, part_rows: int = 20_000, epsilon: float = 2.1) -> DataFrame:
+            sample_rows: int = 20_000, part_rows: int = 20_000, block_rows: int = 20_000, epsilon: float = 2.1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, by Euclidean distance.
 
     `rows` and `queries` are (vec_id, vector) as from `usable`; a row is no candidate for a query of its own id.
     Ties go to the smaller vec_id. Fewer than k candidates give fewer rows, an empty table none. The lists are
-    fitted on about `sample_rows` rows; every row is indexed. Repeated rows are candidates each.
+    fitted on about `sample_rows` rows; every row is indexed. Repeated rows are candidates each. Query rows of one
+    vec_id and vector are one query; of one vec_id and different vectors, each is a query with ranks of its own.
     """
     rows = staged(rows, "vectors")
     n = rows.count()
-    schema = "query_id long, vec_id long, score double"
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = lists or max(1, int(np.sqrt(n)))
-    sample = _matrix(rows.filter(bounded_share(n, sample_rows, F.col("vec_id"))).select("vector").toPandas()["vector"])
+    sample = _matrix(rows.filter(bounded_share(n, sample_rows, F.col("vec_id"))).orderBy("vec_id", "vector").toPandas()["vector"])
     if not len(sample):
-        sample = _matrix(rows.limit(1).toPandas()["vector"])
+        sample = _matrix(rows.orderBy("vec_id", "vector").limit(1).toPandas()["vector"])
     centers = kmeans(sample, min(lists, len(sample)))
     turn = rotation(sample.shape[1])
     probes = max(1, int(np.ceil(len(centers) * probe_share)))
@@ -107,9 +110,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, lists: int | None
             if not len(x):
                 continue
             gap = 0.5 * (centers ** 2).sum(axis=1) - x @ centers.T
-            chosen = np.argpartition(gap, width - 1, axis=1)[:, :width] if width < len(centers) else np.tile(np.arange(len(centers)), (len(x), 1))
-            if width == 1:
-                chosen = gap.argmin(axis=1)[:, None]
+            chosen = np.argsort(gap, axis=1, kind="stable")[:, :width] if width > 1 else gap.argmin(axis=1)[:, None]
             column = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(chosen.ravel().astype(np.int32)))
             yield batch.append_column("lists", column)
 
@@ -118,18 +119,36 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, lists: int | None
     parts = indexed.groupBy("list").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     base = (indexed.join(F.broadcast(parts), "list")  # one row per list, and lists are bounded by the sample
             .withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.col("parts")).cast("int")).drop("parts"))
-    asked = (queries.mapInArrow(lambda b: assigned(b, probes), with_lists)
-             .select(F.col("vec_id").alias("query_id"), "vector", F.explode("lists").alias("list"))
-             .join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+    wanted = staged(queries.dropDuplicates(["vec_id", "vector"]), "ann-queries")
+    blocks = max(1, -(-wanted.count() // block_rows))
+    asked = staged(wanted.mapInArrow(lambda b: assigned(b, probes), with_lists).withColumn("key", F.monotonically_increasing_id())
+                   .withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+                   .select("key", "block", F.col("vec_id").alias("query_id"), "vector", F.posexplode("lists").alias("place", "list")), "ann-probes")
+    schema = "key long, query_id long, vec_id long, score double"
+    found_empty = pd.DataFrame({"key": [], "query_id": [], "vec_id": [], "score": []}).astype({"key": "int64", "query_id": "int64", "vec_id": "int64"})
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return found_empty
         own, ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
-        found = scan(_matrix(left["vector"]), own, _matrix(right["vector"]), ids, k, epsilon, turn)
+        found = scan(_matrix(left["vector"]), own, _matrix(right["vector"]), ids, k, epsilon, turn, left["bound"].to_numpy())
         q, r, d = (np.array(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
-        return pd.DataFrame({"query_id": own[q], "vec_id": ids[r], "score": d.astype(np.float64)})
+        return pd.DataFrame({"key": left["key"].to_numpy()[q], "query_id": own[q], "vec_id": ids[r], "score": d.astype(np.float64)})
 
-    found = asked.groupBy("list", "part").cogroup(base.groupBy("list", "part")).applyInPandas(search, schema)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    where = ["list", "part", "block"]
+    spread = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def searched(probing: DataFrame) -> DataFrame:
+        placed = probing.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return placed.groupBy(*where).cogroup(spread.groupBy(*where)).applyInPandas(search, schema)
+
+    order = Window.partitionBy("key").orderBy("score", "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
+
+    first = staged(ranked(searched(asked.filter("place = 0").withColumn("bound", F.lit(float("inf"))))), "ann-nearest-lists")
+    # Beyond the k-th distance found there nothing can be among the k nearest; ties with it can.
+    reached = first.filter(F.col("rank") == k).select("key", (F.col("score") * (1 + 1e-9)).alias("bound"))
+    rest = asked.filter("place > 0").join(reached, "key", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    return ranked(first.drop("rank").unionByName(searched(rest))).select("query_id", "rank", "vec_id", "score")

@@ -110,6 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents without any window that reaches the similarity to an item, every column unchanged."""
-    found = contaminated(docs, benchmark, **settings).select(F.struct("doc_id", "text_key").alias("found_key")).distinct()
+    name = "found key of the document"  # apart from any column of the documents
+    found = contaminated(docs, benchmark, **settings).select(F.struct("doc_id", "text_key").alias(name)).distinct()
     key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("text_key"))
-    return docs.join(found, key == F.col("found_key"), "left_anti")
+    return docs.withColumn(name, key).join(found, name, "left_anti").select(docs.columns)

@@ -342,11 +342,28 @@ def test_nearest_neighbours(spark):
         hits += len(set(ids[best]) & set(mine["vec_id"]))
         total += len(set(ids[best]))
     assert hits / total >= 0.9
+    blocks = ann_scan.nearest(data, data.filter("vec_id % 100 = 0"), part_rows=200, block_rows=3).toPandas()
+    of = [sorted(zip(f["query_id"], f["rank"], f["vec_id"], f["score"].round(9))) for f in (found, blocks)]
+    assert [x for x in of[0] if x not in set(of[1])] == [x for x in of[1] if x not in set(of[0])] == []
     few = data.filter("vec_id < 4")
     assert ann_scan.nearest(few, few.filter("vec_id = 0")).count() == 3
     assert ann_scan.nearest(data.limit(0), data).count() == 0
 
 
+def test_neighbours_of_repeated_query_rows(spark):
+    """Equal query rows are one query; rows of one id with other vectors have ranks of their own. All lists are probed here."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(v) for v in rng.integers(0, 3, 20)]) for k in range(1, 100)]
+    rows += [(100, rows[5][1])] * 2 + [(200, rows[7][1]), (200, rows[9][1])] + [(300 + k, rows[5][1]) for k in range(15)]
+    data = ann_scan.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    found = ann_scan.nearest(data, data.filter("vec_id % 100 = 0"), probe_share=1.0, lists=5, epsilon=50.0).collect()
+    expected = []
+    for own, vector in {(i, tuple(v)) for i, v in rows if i % 100 == 0}:
+        near = sorted((float(np.sqrt(((np.array(v) - np.array(vector)) ** 2).sum())), i) for i, v in rows if i != own)[:10]
+        expected += [(own, rank, i, d) for rank, (d, i) in enumerate(near, 1)]
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -358,3 +375,31 @@ def test_pipeline_stages(spark):
         assert 0 < len(rows) <= before
         docs, before = spark.createDataFrame(rows, docs.schema), len(rows)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == before
+
+
+def test_stages_with_clashing_columns(spark, frame):
+    """Columns named like those the operators make for themselves come through unchanged."""
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (3, "quite another text"), (4, "the test item of seven words stands here"), (None, None)]
+    extra = ["row_key", "kept_key", "found_key", "class", "sketch", "text_key", "label", "n", "item_id", "start", "root", "prefix"]
+    docs = frame(rows).selectExpr("*", *[f"'{name}' AS {name}" for name in extra])
+    items = spark.createDataFrame([(9, "test item of seven words stands here", 5)], "item_id long, text string, found_key int")
+    for stage, left in ((lambda d: near_copies.keep_one(d), {1, 3, 4, None}), (lambda d: decontaminate.drop_contaminated(d, items), {1, 2, 3, None})):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert {r["doc_id"] for r in got} == left and len(got) == len(left)
+        assert all(r[name] == name for r in got for name in extra)
+
+
+def test_parity_sketches_never_exceed_the_difference():
+    """Also between sketches of unequal length, folded: differing bits are at most the shingles in one set alone."""
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 31, 32, 33, 200, 1000):
+        a = np.unique(rng.integers(-2**63, 2**63 - 1, n, dtype=np.int64))
+        b = np.unique(np.concatenate([a[: max(1, int(len(a) * 0.85))], rng.integers(-2**63, 2**63 - 1, n // 5, dtype=np.int64)]))
+        x, y = (near_copies.parity_sketch(s) for s in (a, b))
+        while len(x) != len(y):
+            long, short = (x, y) if len(x) > len(y) else (y, x)
+            x, y = long[: len(long) // 2] ^ long[len(long) // 2:], short
+        bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b)) and bits % 2 == len(np.setxor1d(a, b)) % 2
