@@ -3,9 +3,9 @@
 A window of as many words as an item can only reach the similarity if enough of its shingles are the item's,
 and the window that starts at the first of these is as good. So windows are taken where a shingle of an item
 stands and enough others follow. Every window content gets a SimHash of its shingles, repeats counted; cut
-into radius + 1 blocks, two fingerprints within the radius agree on one block, so an equal join on size, block
-and value finds all items within the radius. Candidates are verified by the exact weighted Jaccard similarity
-of their shingles (weights are counts).
+into radius + 1 blocks, two fingerprints within the radius agree on one block, so an equal join on item, block
+and value keeps all windows within the radius of the item whose shingles they hold. Candidates are verified by
+the exact weighted Jaccard similarity of their shingles (weights are counts).
 """
 
 from __future__ import annotations
@@ -73,14 +73,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
         known = (items.filter(F.col("k") == k).select("item_id", "n", "k", "m", F.explode(_shingle_hashes("item_words", k)).alias("hash")).distinct())
         for part in range(parts):
             some = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-            found = (text.select("doc_id", "text_key", "w", F.posexplode(_shingle_hashes("w", k)).alias("pos", "hash"))
+            # Positions alone are exploded, not the words next to each of them.
+            found = (text.select("doc_id", "text_key", F.posexplode(_shingle_hashes("w", k)).alias("pos", "hash"))
                      .join(F.broadcast(some), "hash"))
-            start = F.greatest(F.least(F.col("pos"), F.size("w") - F.col("n")), F.lit(0))
-            hits.append(found.select("doc_id", "text_key", "item_id", "n", "k", "m", "pos", start.alias("start"),
-                                     F.slice("w", start + 1, F.col("n")).alias("window")))
+            hits.append(found.select("doc_id", "text_key", "item_id", "n", "k", "m", "pos"))
     if not hits:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, start int, similarity double")
-    hits = staged(reduce(DataFrame.unionByName, hits).distinct(), "shingle-hits")
+    places = staged(reduce(DataFrame.unionByName, hits).distinct(), "shingle-places")
+    met = places.select("doc_id", "text_key").distinct().withColumn("id", F.struct("doc_id", "text_key")).select("id")
+    words = (text.withColumn("id", F.struct("doc_id", "text_key")).join(met, "id", "left_semi")
+             .groupBy("id").agg(F.first("w").alias("w")))
+    start = F.greatest(F.least(F.col("pos"), F.size("w") - F.col("n")), F.lit(0))
+    hits = staged(places.withColumn("id", F.struct("doc_id", "text_key")).join(words, "id")
+                  .select("doc_id", "text_key", "item_id", "n", "k", "m", "pos", start.alias("start"),
+                          F.slice("w", start + 1, F.col("n")).alias("window")), "shingle-hits")
     # Enough hits from this one on: the c-th stands inside the window, c from the similarity of two multisets.
     per = ["doc_id", "text_key", "item_id"]
     least = F.greatest(F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.size("window") - F.col("k") + 1) - 1e-9), F.lit(1))
@@ -95,15 +101,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
     contents = staged(contents, "window-contents")
     wanted = staged(items.withColumn("hashes", F.transform("item_shingles", lambda s: F.xxhash64(s))).withColumn("item_fp", F.expr(SIMHASH))
                     .select("item_id", "n", "item_shingles", "item_fp"), "item-fingerprints")
-    left = contents.select("n", "fp", F.explode(_block("fp", blocks)).alias("at")).select("n", "fp", "at.*").distinct()
-    right = wanted.select("n", "item_fp", F.explode(_block("item_fp", blocks)).alias("at")).select("n", "item_fp", "at.*").distinct()
-    close = (left.join(right, ["n", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-             .select("n", "fp", "item_fp").distinct())
+    known = windows.select("item_id", "n", "window").distinct().join(contents.select("n", "window", "fp"), ["n", "window"])
+    left = known.select("item_id", "window", "fp", F.explode(_block("fp", blocks)).alias("at")).select("item_id", "window", "fp", "at.*")
+    right = wanted.select("item_id", "item_fp", F.explode(_block("item_fp", blocks)).alias("at")).select("item_id", "item_fp", "at.*")
+    close = (left.join(right, ["item_id", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+             .select("item_id", "window").distinct())
     common = F.expr(COMMON)
-    verified = (contents.join(close, ["n", "fp"]).join(wanted, ["n", "item_fp"]).withColumn("common", common)
+    verified = (close.join(wanted.select("item_id", "n", "item_shingles"), "item_id").join(contents.select("n", "window", "shingles"), ["n", "window"])
+                .withColumn("common", common)
                 .withColumn("similarity", F.col("common") / (F.size("shingles") + F.size("item_shingles") - F.col("common")))
                 .filter(F.col("similarity") >= similarity).select("n", "window", "item_id", "similarity"))
-    return (windows.select("doc_id", "text_key", "n", "start", "window").distinct().join(verified, ["n", "window"])
+    return (windows.select(*per, "n", "start", "window").distinct().join(verified, ["item_id", "n", "window"])
             .groupBy(*per).agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
             .select(*per, (-F.col("best.back")).cast("int").alias("start"), F.col("best.similarity").alias("similarity")))
 
