@@ -70,8 +70,16 @@ def release(written: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BROADCAST_ROWS = 500_000  # narrow keys that are sent to all tasks at most; more are shuffled
+
+
+def keys_for_join(keys: DataFrame) -> DataFrame:
+    """A written table of narrow keys, marked for broadcast while it has few rows, so that the texts it selects stay in place."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-__all__ = ["CHUNK_BYTES", "WORD", "bounded_share", "fold", "is_fold", "map_slices", "release", "ship_package", "slices", "staged", "table", "with_column"]
+__all__ = ["CHUNK_BYTES", "WORD", "bounded_share", "fold", "is_fold", "keys_for_join", "map_slices", "release", "ship_package", "slices", "staged", "table", "with_column"]

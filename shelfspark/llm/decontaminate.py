@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import keys_for_join, staged
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SIMHASH = """aggregate(sequence(0, 63), 0L, (fp, b) -> fp |
@@ -65,9 +65,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
     total, = items.agg(F.sum("m")).first()
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most `words` values
     parts = max(1, -(-(total or 0) // item_shingles_at_once))
-    text = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .filter("text is not null")
-            .select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w")))
+    raw = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+           .filter("text is not null").withColumn("text_key", F.xxhash64("text")))
+    text = raw.select("doc_id", "text_key", words_of(F.col("text")).alias("w"))
     hits = []
     for k in sizes:
         known = (items.filter(F.col("k") == k).select("item_id", "n", "k", "m", F.explode(_shingle_hashes("item_words", k)).alias("hash")).distinct())
@@ -80,11 +80,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
     if not hits:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, start int, similarity double")
     places = staged(reduce(DataFrame.unionByName, hits).distinct(), "shingle-places")
-    met = places.select("doc_id", "text_key").distinct().withColumn("id", F.struct("doc_id", "text_key")).select("id")
-    words = (text.withColumn("id", F.struct("doc_id", "text_key")).join(met, "id", "left_semi")
-             .groupBy("id").agg(F.first("w").alias("w")))
+    row = F.struct("doc_id", "text_key").alias("id")
+    met = staged(places.select(row).distinct(), "documents-met")
+    words = (raw.select(row, "text").join(keys_for_join(met), "id", "left_semi").dropDuplicates(["id"])
+             .select("id", words_of(F.col("text")).alias("w")))
     start = F.greatest(F.least(F.col("pos"), F.size("w") - F.col("n")), F.lit(0))
-    hits = staged(places.withColumn("id", F.struct("doc_id", "text_key")).join(words, "id")
+    hits = staged(places.withColumn("id", row).join(words, "id")
                   .select("doc_id", "text_key", "item_id", "n", "k", "m", "pos", start.alias("start"),
                           F.slice("w", start + 1, F.col("n")).alias("window")), "shingle-hits")
     # Enough hits from this one on: the c-th stands inside the window, c from the similarity of two multisets.
