@@ -88,11 +88,6 @@ def center_grid(skus: DataFrame, scope: PlanningScope) -> DataFrame:
     return with_weeks(with_centers(skus, scope), scope)
 
 
-def channel_grid(skus: DataFrame, scope: PlanningScope) -> DataFrame:
-    """SKU x channel x week, for facts that know no center."""
-    return with_weeks(with_channels(skus, scope), scope)
-
-
 def vendor_grid(vendors: DataFrame, scope: PlanningScope) -> DataFrame:
     """Vendor x week."""
     return with_weeks(vendors, scope)

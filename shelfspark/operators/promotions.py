@@ -28,7 +28,9 @@ def promotion_candidates(
     ).join(skus.select("sku_id"), "sku_id", "left_semi")
     first = F.greatest(monday_of("promo_start_date"), scope.first)
     last = F.least(monday_of("promo_end_date"), scope.last)
-    weekly = mapped.filter(F.col("promo_start_date") <= F.col("promo_end_date")).select(
+    # Dates in the wrong order count while both touch the week, as a test on weeks has it.
+    touched = monday_of("promo_start_date") <= monday_of("promo_end_date")
+    weekly = mapped.filter(touched).select(
         "promotion_id", "sku_id", "channel_id",
         F.explode(mondays_between(first, last)).alias("week_start_date"),
         "promo_type", F.col("planned_discount_rate").alias("promo_depth"),

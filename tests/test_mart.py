@@ -172,6 +172,13 @@ def test_promotion_touches_every_overlapped_week(spark):
     assert [row[0] for row in got] == [D("2025-01-13"), D("2025-01-20"), D("2025-01-27")]
 
 
+def test_promotion_with_its_dates_in_the_wrong_order(spark):
+    """It counts in a week that both dates touch, and nowhere else."""
+    got = winner(spark, [dict(promo_start_date=D("2025-01-23"), promo_end_date=D("2025-01-21"))])
+    assert [r[0] for r in got] == [D("2025-01-20")]
+    assert winner(spark, [dict(promo_start_date=D("2025-01-23"), promo_end_date=D("2025-01-15"))]) == []
+
+
 def test_promotion_must_lie_inside_the_mapping(spark):
     mapping = table(spark, "sku_code_mapping", [dict(
         source_system="MD", source_sku_code="MD-1", effective_from=D("2025-01-14"))])
