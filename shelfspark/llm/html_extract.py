@@ -3,7 +3,9 @@
 Every block element gets its characters per tag, adjusted for the share of link text. The element whose
 children's densities have the largest sum is the heart of the page; the least density on the path from the
 body to it is the threshold. Elements from the body down that reach the threshold give their best subtree.
-Page furniture (navigation, headers, forms, adverts, comments) carries no text at all.
+Page furniture (navigation, headers, forms, adverts, comments) carries no text at all; an inline element may be
+furniture too. A name only marks an element as furniture: a wrapper that holds the page's main element, or without
+one its longest article, is none, and neither is a layout wrapper ("layout-sidebar-left") with most of the page's text.
 
 The logarithms of the density are shifted by one, so pages without links are defined. Inline elements count
 as tags of their block, not as elements to choose.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from math import e, log
 
 import pyarrow as pa
@@ -32,7 +35,10 @@ FURNITURE_NAMES = frozenset(
     "masthead cookie cookies consent notice notices notification alert popup modal promo promoted sponsor sponsored newsletter "
     "subscribe comment comments disqus reply replies share sharing social related recommended widget login search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NEVER_FURNITURE = frozenset(("html", "body", "main", "article"))
+NEVER_FURNITURE = frozenset(("html", "body", "main"))
+COMMENT_NAMES = frozenset("comment comments disqus reply replies".split())
+LAYOUT_NAMES = frozenset("sidebar nav navbar menu widget search login".split())
+MODIFIERS = frozenset("has with no without".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav "
                      "ol p pre section table ul".split())
 CLOSES_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"),
@@ -43,42 +49,75 @@ _TOKEN = re.compile(r"<!--|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 
+# How surely an element is furniture: a layout wrapper may hold the text, a named one the main element, the rest is gone.
+LIVE, LAYOUT, NAMED, GONE = range(4)
 
-def is_furniture(tag: str, attributes: str) -> bool:
+
+def furniture(tag: str, attributes: str) -> int:
     if tag in FURNITURE:
-        return True
+        return GONE
     if tag in NEVER_FURNITURE or not attributes:
-        return False
+        return LIVE
+    sure = LIVE
     for match in _ATTRIBUTE.finditer(attributes):
         name, value = match.group(1).lower(), (match.group(2) or match.group(3) or match.group(4) or "").lower()
-        if name in ("class", "id") and FURNITURE_NAMES.intersection(_NAME.findall(value)):
-            return True
-        if name == "role" and value.strip() in FURNITURE_ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+        if name in ("class", "id"):
+            tokens = value.split()
+            if COMMENT_NAMES.intersection(tokens):
+                return GONE
+            if tag == "article":
+                continue
+            for token in tokens:
+                parts = _NAME.findall(token)
+                named = FURNITURE_NAMES.intersection(parts)
+                if named and (len(parts) == 1 or parts[0] not in MODIFIERS):
+                    sure = max(sure, LAYOUT if len(parts) > 1 and named <= LAYOUT_NAMES else NAMED)
+        elif tag == "article" and name == "role":
+            continue
+        elif name == "role" and value.strip() in FURNITURE_ROLES:
+            return GONE
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
+            return GONE
+    return sure
 
 
 class Page:
     """Block elements in page order, each with its parent; pieces of text with the element they stand in."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dead = ["#page"], [-1], [False]
+        self.tag, self.parent, self.sure, self.gone = ["#page"], [-1], [LIVE], [False]
         self.tags, self.links, self.link_chars, self.chars = [0], [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []  # (element, number of the block, text)
+        self.stack, self.open = [0], Counter()
         self._read(source)
+        self.dead = self._dead()
 
-    def _open(self, tag: str, parent: int, dead: bool) -> int:
+    def _push(self, tag: str, sure: int) -> None:
+        here = self.stack[-1]
         self.tag.append(tag)
-        self.parent.append(parent)
-        self.dead.append(dead)
+        self.parent.append(here)
+        self.sure.append(sure)
+        self.gone.append(self.gone[here] or sure == GONE)
         for counts in (self.tags, self.links, self.link_chars, self.chars):
             counts.append(0)
-        return len(self.tag) - 1
+        self.stack.append(len(self.tag) - 1)
+        self.open[tag] += 1
+
+    def _pop(self, depth: int) -> None:
+        """End the elements from this depth of the stack on."""
+        for k in self.stack[depth:]:
+            self.open[self.tag[k]] -= 1
+        del self.stack[depth:]
+
+    def _depth_of(self, tag: str) -> int:
+        """Depth of the innermost open element of a tag, 0 if there is none."""
+        if not self.open[tag]:
+            return 0
+        return next(d for d in range(len(self.stack) - 1, 0, -1) if self.tag[self.stack[d]] == tag)
 
-    def _text(self, source: str, at: int, block: int, in_link: bool) -> None:
-        if self.dead[at]:
+    def _text(self, source: str, block: int, in_link: bool) -> None:
+        at = self.stack[-1]
+        if self.gone[at]:
             return
         text = entities.unescape(source)
         self.pieces.append((at, block, text))
@@ -87,16 +126,16 @@ class Page:
         self.link_chars[at] += n * in_link
 
     def _read(self, source: str) -> None:
-        stack, block, in_link, at = [0], 0, 0, 0
+        stack, block, in_link, at = self.stack, 0, 0, 0
         while at < len(source):
             less = source.find("<", at)
             if less < 0:
-                self._text(source[at:], stack[-1], block, in_link > 0)
+                self._text(source[at:], block, in_link > 0)
                 break
             match = _TOKEN.match(source, less)
             end = match.end() if match else less + 1
             if less > at or not match:
-                self._text(source[at:less] if match else source[at:end], stack[-1], block, in_link > 0)
+                self._text(source[at:less] if match else source[at:end], block, in_link > 0)
             at = end
             if not match:
                 continue
@@ -109,22 +148,24 @@ class Page:
                 continue
             tag = tag.lower()
             if slash:
-                if tag == "a":
+                depth = self._depth_of(tag)
+                if depth:
+                    self._pop(depth)
+                elif tag == "a":
                     in_link = max(0, in_link - 1)
-                if tag not in INLINE:
-                    block += 1
-                    if tag in (self.tag[k] for k in stack[1:]):
-                        while self.tag[stack.pop()] != tag:
-                            pass
+                block += tag not in INLINE
                 continue
-            here = stack[-1]
-            dead = self.dead[here] or is_furniture(tag, attributes)
+            here, sure = stack[-1], furniture(tag, attributes)
             if tag in RAW and not attributes.endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(source, at)
                 at = close.end() if close else len(source)
                 block += tag not in INLINE
                 continue
-            if tag in INLINE and not dead:
+            if tag in INLINE:
+                # Inline furniture is an element until its end, as are equal tags inside it, so that this end is found.
+                if tag not in VOID and (sure or self.open[tag]):
+                    self._push(tag, sure)
+                    continue
                 self.tags[here] += 1
                 if tag == "a":
                     self.links[here] += 1
@@ -136,20 +177,41 @@ class Page:
             if tag in VOID:
                 self.tags[here] += 1
                 continue
-            if tag in CLOSES_P and self.tag[here] == "p":
-                stack.pop()
-            elif tag in CLOSES_OWN:
+            if tag in CLOSES_P:
+                depth = len(stack) - 1
+                while depth and self.tag[stack[depth]] in INLINE:
+                    depth -= 1
+                if self.tag[stack[depth]] == "p":
+                    self._pop(depth)
+            if tag in CLOSES_OWN and (self.open[tag] or self.open["dt"] or self.open["dd"]):
                 for depth in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[depth]] in CLOSES_OWN[tag]:
                         break
                     if self.tag[stack[depth]] == tag or (tag in ("dt", "dd") and self.tag[stack[depth]] in ("dt", "dd")):
-                        del stack[depth:]
+                        self._pop(depth)
                         break
-            # Furniture may be an inline element by name; it is an element here, so that its end is found.
-            if tag in INLINE:
-                continue
-            stack.append(self._open(tag, stack[-1], self.dead[stack[-1]] or is_furniture(tag, attributes)))
-            in_link = in_link if not self.dead[stack[-1]] else 0
+            self._push(tag, sure)
+            in_link = in_link if not self.gone[stack[-1]] else 0
+
+    def _dead(self) -> list[bool]:
+        """Furniture, by element, once the whole page is known."""
+        n = len(self.tag)
+        chars, link_chars = list(self.chars), list(self.link_chars)
+        for k in range(n - 1, 0, -1):
+            chars[self.parent[k]] += chars[k]
+            link_chars[self.parent[k]] += link_chars[k]
+        texts = [k for k in range(n) if self.tag[k] in ("main", "article") and chars[k]]
+        heart = max([k for k in texts if self.tag[k] == "main"] or texts, key=lambda k: (chars[k], -k), default=-1)
+        holders, k = set(), heart
+        while k >= 0:
+            holders.add(k)
+            k = self.parent[k]
+        dead = [False] * n
+        for k in range(1, n):
+            most = self.sure[k] == LAYOUT and heart < 0 and 2 * chars[k] > chars[0] and 2 * link_chars[k] < chars[k]
+            excused = self.sure[k] < GONE and (k in holders or most)
+            dead[k] = dead[self.parent[k]] or (self.sure[k] > LIVE and not excused)
+        return dead
 
     def text(self) -> str:
         """Blocks of the chosen subtrees in page order."""
@@ -199,7 +261,7 @@ class Page:
             taken[k] = taken[k] or (taken[self.parent[k]] and not self.dead[k])
         blocks: dict[int, list[str]] = {}
         for at, block, text in self.pieces:
-            if taken[at]:
+            if taken[at] and not self.dead[at]:
                 blocks.setdefault(block, []).append(text)
         lines = (" ".join("".join(parts).split()) for parts in blocks.values())
         return "\n".join(line for line in lines if line)

@@ -258,6 +258,29 @@ def test_long_text_in_pieces(monkeypatch, frame):
     assert strings == 451
 
 
+FURNITURE_CASES = [
+    ("<p>Alpha <span class='ad'>BUY <span>NOW</span> x</span> delta words.</p>", "Alpha delta words."),
+    ("<p>a <a class='share' href=x>Share</a> b<p>c <i class=social>unclosed<p>d words", "a b\nc\nd words"),
+    ("<p>a <img class='ad' src=x> b</p>", "a b"),
+    ("<body><div class='container has-sidebar'><article><p>Real text.</p></article><div class=sidebar>links</div></div>", "Real text."),
+    ("<div class='widget'><main><p>Text of main.</p></main><div class='ad-box'>buy</div></div>", "Text of main."),
+    ("<div class='layout-sidebar-left'><p>Text in a wrapper.</p></div>", "Text in a wrapper."),
+    ("<div class='post with-comments'><p>Some text here, long enough.</p><div class=comments><article class=comment>"
+     "a long and nice comment, longer than the text itself</article></div></div>", "Some text here, long enough."),
+    ("<div class='cookie-notice'><p>We use cookies on all of our pages.</p></div>", ""),
+    ("<p>Text of the page.</p><div class='main-menu'><a href=1>One of many links</a> <a href=2>Two of many links</a></div>", "Text of the page."),
+]
+
+
+@pytest.mark.parametrize("source, text", FURNITURE_CASES)
+def test_furniture_by_name(source, text):
+    assert html_extract.main_text(source) == text
+
+
+def test_deep_pages_stay_linear():
+    assert html_extract.main_text("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep"
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href=x>Home</a> <a href=y>More</a></nav>
 <!-- <p>old</p> --><div class="ad">Buy now</div><article><h1>A &amp; B</h1><p><b>First   one<br><p>Second &eacute; <a href=z>link</a> here.</p>
 <ul><li>One<li>Two</ul></article><aside>Side text that is long enough to be seen by all</aside><div id="comments"><p>I like it a lot, thanks!</p></div><footer>&copy; x</footer>"""
