@@ -50,6 +50,26 @@ def require_unique(df: DataFrame, keys, name: str) -> DataFrame:
     return df
 
 
+def require_keys(tables: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, int]:
+    """Every table has rows and no key twice, NULL being a value; one job for all. Returns the row counts."""
+    keys = [
+        df.select(F.lit(name).alias("table"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("key"))
+        for name, (df, names) in tables.items()
+    ]
+    found = {
+        row["table"]: row
+        for row in reduce(DataFrame.unionByName, keys)
+        .groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("table").agg(F.sum("n").alias("row_count"), F.max("n").alias("most")).collect()
+    }
+    for name, (_, names) in tables.items():
+        if name not in found:
+            raise ValueError(f"{name} has no rows")
+        if found[name].most > 1:
+            raise ValueError(f"{name} has more than one row for some {', '.join(names)}")
+    return {name: row.row_count for name, row in found.items()}
+
+
 def unique_rows(df: DataFrame, keys, name: str) -> DataFrame:
     """The same rows; the job that reads them fails when a key repeats.
 

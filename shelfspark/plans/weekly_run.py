@@ -1,6 +1,7 @@
 """The complete weekly run: sources to mart, features, predictions, decisions, KPIs, exports.
 
-Each stage is written before the next one reads it, and a failed contract stops the run.
+Each stage is written before the next one reads it, and a failed contract stops the run. A run writes to a folder of
+its own, which one marker publishes at the end: a run that fails or dies leaves the tables of the last one as they were.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import KEY_COLUMNS
 from ..operators import serving
-from ..operators.contracts import orphans, require_rows, require_unique
+from ..operators.contracts import orphans, require_keys, require_rows
 from ..operators.decisions import require_valid_decisions
 from ..operators.modeling import demand_importance, stockout_importance, top_features
 from ..session import shuffle_width, tuned
+from ..sources import versions
 from ..sources.staging import require_outputs, write_weekly
 from .decisions import ModelStages
 from .features import VENDOR_PROFILE, add_features, vendor_features
@@ -24,18 +26,17 @@ from .mart import weekly_mart
 
 
 def _store(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def check_sources(sources) -> None:
     """One row per key where others join, a known vendor for every SKU, full vendor profiles."""
-    for name, keys in (
-        ("sku_master", ["sku_id"]),
-        ("vendor_master", ["vendor_id"]),
-        ("erp_purchase_orders", ["po_id", "po_line_id"]),
-    ):
-        require_unique(require_rows(getattr(sources, name), name), keys, name)
+    require_keys({
+        "sku_master": (sources.sku_master, ["sku_id"]),
+        "vendor_master": (sources.vendor_master, ["vendor_id"]),
+        "erp_purchase_orders": (sources.erp_purchase_orders, ["po_id", "po_line_id"]),
+    })
     vendors = sources.vendor_master
     wanted = sources.sku_master.select(F.col("default_vendor_id").alias("vendor_id"))
     if not orphans(wanted, vendors, ["vendor_id"]).isEmpty():
@@ -46,27 +47,27 @@ def check_sources(sources) -> None:
 
 
 def run(sources, target: str, rounds: int = 250, importance: bool = True) -> dict[str, str]:
-    """Run everything into ``target``; returns the path of each output table."""
+    """Run everything into a new version under ``target``; returns the path of each output table."""
     spark: SparkSession = tuned(sources.spark)
     paths: dict[str, str] = {}
+    version = versions.new_version()
     check_sources(sources)
 
     def store(name: str, df: DataFrame) -> DataFrame:
-        paths[name] = f"{target}/{name}"
+        paths[name] = f"{target}/{version}/{name}"
         return _store(df, paths[name])
 
     def store_weekly(name: str, df: DataFrame) -> DataFrame:
-        paths[name] = f"{target}/{name}"
+        paths[name] = f"{target}/{version}/{name}"
         return write_weekly(df, paths[name])
 
     mart = store_weekly("weekly_mart", weekly_mart(sources, sources.scope))
-    require_unique(require_rows(mart, "weekly mart"), KEY_COLUMNS, "weekly mart")
 
     # One shuffle by SKU serves every window and join of the feature step.
     by_sku = mart.repartition(shuffle_width(spark), "sku_id")
     features = store_weekly(
         "feature_table", add_features(by_sku, vendor_features(sources, sources.scope)))
-    require_unique(features, KEY_COLUMNS, "feature table")
+    require_keys({"weekly mart": (mart, KEY_COLUMNS), "feature table": (features, KEY_COLUMNS)})
     stages = ModelStages(features, rounds, keep=store)
     demand, stockout = stages.predictions()
     demand_scores = store("demand_model_metrics", stages.demand_metrics())
@@ -85,4 +86,5 @@ def run(sources, target: str, rounds: int = 250, importance: bool = True) -> dic
     store("export_reorder", serving.export_reorder(decisions))
     store("export_sku_detail", serving.sku_detail(features))
     require_outputs(spark, paths)
+    versions.publish(spark, target, version)
     return paths

@@ -9,6 +9,7 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from ..operators.grids import PlanningScope
 from ..schemas import SOURCE_TABLES, schema_of
+from . import bucketed, versions
 
 
 def read_text(spark: SparkSession, path: str, schema: StructType,
@@ -59,52 +60,87 @@ def require_inputs(spark: SparkSession, paths: dict[str, str]) -> None:
 
 
 def stage_csv(spark: SparkSession, folder: str, target: str, tables=None,
-              allow_rejected: bool = False, multi_line: bool = False) -> dict[str, int]:
-    """Rewrite the staging tables from ``folder/<table>.csv``; returns their row counts.
+              allow_rejected: bool = False, multi_line: bool = False,
+              bucket_bytes: int = bucketed.BUCKET_BYTES) -> dict[str, int]:
+    """New versions of the staging tables from ``folder/<table>.csv``; returns their row counts.
 
     Each file is parsed once: rows and unreadable values are counted while it is written. Rows
-    read must equal rows stored, and unreadable values are an error unless allowed.
+    read must equal rows stored, and unreadable values are an error unless allowed. All tables are
+    published after the last one has passed; until then, and after an error, readers see the old
+    ones. Staged together, PO lines and receipts are stored in buckets of their line.
     """
     tables = list(tables or SOURCE_TABLES)
     require_inputs(spark, {name: f"{folder}/{name}.csv" for name in tables})
-    counts = {}
+    counts, fresh = {}, {name: versions.new_version() for name in tables}
+    path = {name: f"{target}/{name}/{fresh[name]}" for name in tables}
     for name in tables:
         schema, seen = schema_of(name), Observation()
         rows = read_text(spark, f"{folder}/{name}.csv", schema, multi_line).observe(
             seen, F.count(F.lit(1)).alias("_rows"), *rejected_counts(schema))
-        typed(rows, schema).write.mode("overwrite").parquet(f"{target}/{name}")
+        typed(rows, schema).write.parquet(path[name])
         rejected = {column: n for column, n in seen.get.items() if n and column != "_rows"}
         if rejected and not allow_rejected:
             raise ValueError(f"{name}: unreadable values: {rejected}")
-        read, stored = seen.get["_rows"], spark.read.parquet(f"{target}/{name}").count()
+        read, stored = seen.get["_rows"], spark.read.parquet(path[name]).count()
         if read != stored:
             raise ValueError(f"{name}: {read} rows read but {stored} stored")
         counts[name] = stored
+    buckets = 0
+    if set(bucketed.TABLES) <= set(tables):
+        buckets = bucketed.bucket_count(spark, {name: (path[name], counts[name]) for name in bucketed.TABLES}, bucket_bytes)
+    if buckets:
+        for name in bucketed.TABLES:
+            plain, fresh[name] = path[name], versions.new_version()
+            path[name] = f"{target}/{name}/{fresh[name]}"
+            bucketed.write_bucketed(spark.read.parquet(plain), path[name], buckets)
+            versions.delete(spark, plain)
+    for name in tables:
+        versions.publish(spark, f"{target}/{name}", fresh[name], counts[name], buckets if name in bucketed.TABLES else 0)
     return counts
 
 
+def require_schema(stored: StructType, declared: StructType, name: str) -> None:
+    """The files' own columns and types must be the declared ones, in any order."""
+    own, wanted = ({f.name: f.dataType for f in schema} for schema in (stored, declared))
+    wrong = sorted(column for column in own.keys() | wanted.keys() if own.get(column) != wanted.get(column))
+    if wrong:
+        raise ValueError(f"{name}: stored columns differ from the declared ones: {', '.join(wrong)}")
+
+
 class Staged:
-    """The nine source tables of a staging folder, for a planning scope."""
+    """The nine source tables of a staging folder, as published when first read, for a planning scope."""
 
     def __init__(self, spark: SparkSession, folder: str, scope: PlanningScope):
         self.spark, self.folder, self.scope = spark, folder.rstrip("/"), scope
+        self._tables: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SOURCE_TABLES:
             raise AttributeError(name)
-        return self.spark.read.schema(schema_of(name)).parquet(f"{self.folder}/{name}")
-
-
-def write_weekly(df: DataFrame, path: str, files_per_week: int = 8) -> DataFrame:
-    """Replace a weekly table, one folder per week so that readers prune weeks; reads it back.
-
-    Rows of a week are brought together first; without that every task would write a
-    file into every week. The SKU keeps a week from landing in one task.
+        if name not in self._tables:
+            self._tables[name] = self._read(name)
+        return self._tables[name]
+
+    def _read(self, name: str) -> DataFrame:
+        marker, schema = versions.current(self.spark, f"{self.folder}/{name}"), schema_of(name)
+        if marker is None:
+            raise FileNotFoundError(f"{name} is not staged in {self.folder}")
+        path = f"{self.folder}/{name}/{marker.version}"
+        if marker.row_count:  # a table without rows may have no file to tell its columns
+            require_schema(self.spark.read.parquet(path).schema, schema, name)
+        if marker.buckets:
+            return bucketed.read_bucketed(self.spark, path, schema, marker.buckets)
+        return self.spark.read.schema(schema).parquet(path)
+
+
+def write_weekly(df: DataFrame, path: str) -> DataFrame:
+    """A new weekly table, one folder per week so that readers prune weeks; reads it back.
+
+    Rows of a week are brought together first; without that every task would write a file into every week.
+    Adaptive execution splits weeks above its advisory partition size and merges small ones, so the number of
+    files follows the data.
     """
-    (
-        df.repartition("week_start_date", F.pmod(F.xxhash64("sku_id"), F.lit(files_per_week)))
-        .write.mode("overwrite").partitionBy("week_start_date").parquet(path)
-    )
+    df.hint("rebalance", "week_start_date").write.partitionBy("week_start_date").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
