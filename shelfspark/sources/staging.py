@@ -10,18 +10,21 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 from ..operators.grids import PlanningScope
 from ..schemas import SOURCE_TABLES, schema_of
 from . import bucketed, versions
+from .records import read_records, record_count
 
 
 def read_text(spark: SparkSession, path: str, schema: StructType,
               multi_line: bool = False) -> DataFrame:
     """Headered UTF-8 CSV, with or without a byte-order mark, every column as text.
 
-    Line breaks inside quotes need ``multi_line``, which reads each file in one task.
+    Line breaks inside quotes need ``multi_line``, which finds the records before they are parsed.
     """
+    if multi_line:
+        return read_records(spark, path, schema)
     text = StructType([StructField(field.name, StringType()) for field in schema])
     return (
         spark.read.schema(text).option("header", True).option("enforceSchema", False)
-        .option("multiLine", multi_line).csv(path)
+        .option("escape", '"').csv(path)
     )
 
 
@@ -64,8 +67,9 @@ def stage_csv(spark: SparkSession, folder: str, target: str, tables=None,
               bucket_bytes: int = bucketed.BUCKET_BYTES) -> dict[str, int]:
     """New versions of the staging tables from ``folder/<table>.csv``; returns their row counts.
 
-    Each file is parsed once: rows and unreadable values are counted while it is written. Rows
-    read must equal rows stored, and unreadable values are an error unless allowed. All tables are
+    Each file is parsed once: rows and unreadable values are counted while it is written. The rows
+    parsed must equal those stored and the records of the file, which are counted without the parser;
+    unreadable values are an error unless allowed. All tables are
     published after the last one has passed; until then, and after an error, readers see the old
     ones. Staged together, PO lines and receipts are stored in buckets of their line.
     """
@@ -75,6 +79,7 @@ def stage_csv(spark: SparkSession, folder: str, target: str, tables=None,
     path = {name: f"{target}/{name}/{fresh[name]}" for name in tables}
     for name in tables:
         schema, seen = schema_of(name), Observation()
+        records = record_count(spark, f"{folder}/{name}.csv", multi_line)
         rows = read_text(spark, f"{folder}/{name}.csv", schema, multi_line).observe(
             seen, F.count(F.lit(1)).alias("_rows"), *rejected_counts(schema))
         typed(rows, schema).write.parquet(path[name])
@@ -82,8 +87,8 @@ def stage_csv(spark: SparkSession, folder: str, target: str, tables=None,
         if rejected and not allow_rejected:
             raise ValueError(f"{name}: unreadable values: {rejected}")
         read, stored = seen.get["_rows"], spark.read.parquet(path[name]).count()
-        if read != stored:
-            raise ValueError(f"{name}: {read} rows read but {stored} stored")
+        if not records == read == stored:
+            raise ValueError(f"{name}: {records} records in the file, {read} rows read, {stored} stored")
         counts[name] = stored
     buckets = 0
     if set(bucketed.TABLES) <= set(tables):
@@ -145,12 +150,12 @@ def write_weekly(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Headered CSV with dates as ISO text and the columns in their given order."""
+    """Headered CSV with dates as ISO text, doubled quotes and the columns in their given order."""
     dates = {field.name for field in df.schema if isinstance(field.dataType, DateType)}
     df.select(*[
         F.date_format(name, "yyyy-MM-dd").alias(name) if name in dates else F.col(name)
         for name in df.columns
-    ]).write.mode("overwrite").option("header", True).csv(path)
+    ]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def require_outputs(spark: SparkSession, paths: dict[str, str]) -> None:
