@@ -19,6 +19,7 @@ from ..fixed_values import (
 )
 from ..operators.grids import PlanningScope, center_grid, with_channels
 from ..operators.inventory import inventory_weekly
+from ..operators.mapping import CodeMapping
 from ..operators.overrides import override_weekly
 from ..operators.promotions import promotion_weekly
 from ..operators.purchasing import po_changes, po_segments, running_positions
@@ -42,10 +43,13 @@ def _filled(columns) -> list:
     ]
 
 
-def weekly_mart(sources, scope: PlanningScope) -> DataFrame:
-    """Join the dense grid with every weekly fact; missing counts and flags become 0."""
+def weekly_mart(sources, scope: PlanningScope, mapping: CodeMapping | None = None) -> DataFrame:
+    """Join the dense grid with every weekly fact; missing counts and flags become 0.
+
+    ``mapping`` brings measured hot codes; without it the code mapping of the sources is used as it is.
+    """
     spark = tuned(sources.spark)
-    skus, mapping = sources.sku_master, sources.sku_code_mapping
+    skus, mapping = sources.sku_master, mapping or sources.sku_code_mapping
     by_sku = sku_dimension(skus, sources.vendor_master).repartition(shuffle_width(spark), "sku_id")
     center_week = ["sku_id", "center_id", "week_start_date"]
     channel_week = ["sku_id", "channel_id", "week_start_date"]

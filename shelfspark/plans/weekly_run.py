@@ -16,6 +16,7 @@ from ..fixed_values import KEY_COLUMNS
 from ..operators import serving
 from ..operators.contracts import orphans, require_keys, require_rows
 from ..operators.decisions import require_valid_decisions
+from ..operators.mapping import measured_mapping
 from ..operators.modeling import demand_importance, stockout_importance, top_features
 from ..session import shuffle_width, tuned
 from ..sources import versions
@@ -61,7 +62,7 @@ def run(sources, target: str, rounds: int = 250, importance: bool = True) -> dic
         paths[name] = f"{target}/{version}/{name}"
         return write_weekly(df, paths[name])
 
-    mart = store_weekly("weekly_mart", weekly_mart(sources, sources.scope))
+    mart = store_weekly("weekly_mart", weekly_mart(sources, sources.scope, measured_mapping(sources)))
 
     # One shuffle by SKU serves every window and join of the feature step.
     by_sku = mart.repartition(shuffle_width(spark), "sku_id")
