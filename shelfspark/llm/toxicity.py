@@ -30,7 +30,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SUBSTITUTE, NOISE, STUTTER, PADDING = 1.0, 4.0, 2.0, 0.5  # costs in nats
 GAP = 4  # bytes from one single character of a spaced run to the next, at most
-CACHE = 200_000
+CACHE_BYTES = 32 << 20  # of spans and the words behind them that one task remembers
+PIECE, OVERLAP = 2048, 64  # bytes: longer spans are decoded in pieces, each beginning with the end of the one before
 
 
 @lru_cache(maxsize=1)
@@ -183,6 +184,30 @@ def disguised_spans(data: bytes) -> list[tuple[int, int]]:
     return spans
 
 
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """A range whole, or cut into overlapping ones of `PIECE`, so that what is no longer than the overlap lies whole in one."""
+    if end - start <= PIECE:
+        return [(start, end)]
+    return [(at, min(at + PIECE, end)) for at in range(start, end - OVERLAP, PIECE - OVERLAP)]
+
+
+class SpanCache(dict):
+    """Words behind the spans met so far; emptied before they would take more than `limit` bytes."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        super().__init__()
+        self.limit, self.size = limit, 0
+
+    def __setitem__(self, span: bytes, words: list[bytes]) -> None:
+        taken = 256 + len(span) + sum(64 + len(word) for word in words)
+        if self.size + taken > self.limit:
+            self.clear()
+            self.size = 0
+        if taken <= self.limit:
+            super().__setitem__(span, words)
+            self.size += taken
+
+
 def traits(word: bytes) -> set[bytes]:
     """What the lexicon may know a word by: its beginnings of 4 to 6 bytes, and itself with a blank behind it."""
     return {word + b" "} | {word[:n] for n in (4, 5, 6) if len(word) >= n}
@@ -199,14 +224,16 @@ class ToxicityModel:
         self.lexicon, self.heads = lexicon, {trait.rstrip(b" ")[:4] for trait in lexicon}
 
     def words(self, text: str | None, cache: dict[bytes, list[bytes]]) -> list[bytes]:
-        """Plain words, and the restored ones of disguised spans where these differ."""
+        """Plain words, and the restored ones of disguised spans where these differ.
+
+        A span without blanks may be as long as the text; beyond `PIECE` bytes it is decoded in pieces, and a word
+        that lies in the overlap of two counts in both.
+        """
         data = (text or "").lower().encode("utf-8", "replace")
         found = data.translate(_PLAIN).split()
-        for a, b in disguised_spans(data):
+        for a, b in (piece for span in disguised_spans(data) for piece in pieces(*span)):
             span = data[a:b]
             if (behind := cache.get(span)) is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
                 behind, plain = restore(span.decode("utf-8", "replace"), self.logp, split=True).encode().split(), span.translate(_PLAIN).split()
                 cache[span] = behind = [] if behind == plain else behind
             found += behind
@@ -230,7 +257,7 @@ class ToxicityModel:
         z = np.clip(evidence @ np.array(self.curve[1:]) + self.curve[0], -30, 30)
         return 1 / (1 + np.exp(-z))
 
-    def scores(self, texts: list[str | None], cache: dict) -> np.ndarray:
+    def scores(self, texts: list[str | None], cache: dict[bytes, list[bytes]]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         return self.probability(np.array([self.evidence(self.words(t, cache)) for t in texts]))
@@ -264,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, lexicon_wo
                   .filter(chosen).join(marked.filter(chosen), "doc_id").select("text", "label").dropDuplicates(), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, list[bytes]] = {}
+        cache = SpanCache()
         for batch in batches:
             for part in slices(batch, "text"):
                 seen = (Counter(), Counter())
@@ -286,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, lexicon_wo
     candidates = {bytes(r["word"]): r["odds"] for r in listed}
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, list[bytes]] = {}
+        cache = SpanCache()
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [sorted({t for w in set(model.words(text, cache)) for t in traits(w) if t in candidates})
@@ -299,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, lexicon_wo
         return model
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, list[bytes]] = {}
+        cache = SpanCache()
         for batch in batches:
             for part in slices(batch, "text"):
                 values = [model.evidence(model.words(t, cache)) for t in part.column("text").to_pylist()]
@@ -336,7 +363,7 @@ def explaining(candidates: dict[bytes, float], toxic: list[set[bytes]], least_sh
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) of every row, from its whole text alone; null and empty texts have the score of no evidence."""
-    cache: dict[bytes, list[bytes]] = {}
+    cache = SpanCache()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = model.scores(batch.column("text").to_pylist(), cache)
@@ -348,7 +375,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """The documents scoring below the threshold, every column unchanged. Rows with null ids or texts are judged like others."""
-    cache: dict[bytes, list[bytes]] = {}
+    cache = SpanCache()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = model.scores(batch.column("text").to_pylist(), cache) < threshold

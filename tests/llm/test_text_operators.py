@@ -61,6 +61,28 @@ def test_toxicity_without_labels_or_rows(spark, frame):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_span_cache_is_bounded_by_bytes():
+    cache, rng = toxicity.SpanCache(10_000), random.Random(2)
+    for k in range(3000):
+        cache[b"%d" % k * rng.randrange(1, 200)] = [b"word"] * rng.randrange(5)
+        held = sum(256 + len(span) + sum(64 + len(word) for word in words) for span, words in cache.items())
+        assert held == cache.size <= 10_000
+    cache[b"x" * 20_000] = []  # larger than the bound alone: not kept
+    assert b"x" * 20_000 not in cache
+
+
+def test_pieces_cover_a_span_and_hold_short_words_whole():
+    for n in (0, 1, toxicity.PIECE, toxicity.PIECE + 1, 3 * toxicity.PIECE - 2 * toxicity.OVERLAP, 100_003):
+        cut = toxicity.pieces(7, 7 + n)
+        assert cut[0][0] == 7 and cut[-1][1] == 7 + n and all(0 <= b - a <= toxicity.PIECE for a, b in cut)
+        assert all(0 < a - c <= toxicity.PIECE - toxicity.OVERLAP and d - a >= toxicity.OVERLAP for (c, d), (a, _) in zip(cut, cut[1:]))
+    model = toxicity.ToxicityModel(np.zeros((toxicity.SYMBOLS,) * 4, np.float32))
+    plain = model.words("stone-" * 1500, {})
+    for at in range(toxicity.PIECE - 70, toxicity.PIECE + 10, 3):  # a disguised word in a text without blanks, at and around a cut
+        text = ("stone-" * 1500)[:at] + "-wr3tch-" + ("stone-" * 1500)[at:]
+        assert any(b"tch" in word for word in model.words(text, {}) if word not in plain), at
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(2)
     logp = np.log(rng.dirichlet(np.ones(28), (28, 28, 28))).astype(np.float32)
