@@ -139,6 +139,35 @@ def test_near_copies_equal_brute_force(monkeypatch, frame, sample, rounds):
     assert near_copies.keep_one(frame([])).count() == 0
 
 
+def test_near_copies_begin_with_the_fingerprints_of_the_tries(monkeypatch, frame):
+    """Without the exact search, what the tries link and the texts confirm is still dropped, and nothing else."""
+    monkeypatch.setattr(near_copies, "linked_rounds", lambda *_: (None, True))
+    rng = random.Random(5)
+    long = rng.choices([f"w{k}" for k in range(500)], k=2000)
+    near = [*long[:1999], "changed"]
+    bits = [near_copies.simhash(near_copies.shingle_hashes(" ".join(t), 5)) for t in (long, near)]
+    assert (bits[0] ^ bits[1]).bit_count() <= near_copies.BUDGET
+    rows = [(2, " ".join(long)), (1, " ".join(near)), (3, " ".join(long[::-1])), (4, "z z z z z z"), (5, "z z z z z")]
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(frame(rows)).collect()) == [1, 3, 4]
+
+
+def test_fingerprint_pairs_link_what_is_near(spark):
+    rng = random.Random(3)
+    prints = [rng.getrandbits(63) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(62), k % 7)) for k, p in enumerate(prints)]
+    pairs = near_copies.fingerprint_pairs(spark.createDataFrame(list(enumerate(prints)), "class long, fp long")).collect()
+    group = list(range(len(prints)))
+    for a, b in pairs:
+        group = [group[a] if g == group[b] else g for g in group]
+    expected = list(range(len(prints)))
+    for i, p in enumerate(prints):
+        for j in range(i):
+            if (p ^ prints[j]).bit_count() <= 4:
+                expected = [expected[j] if g == expected[i] else g for g in expected]
+    assert {(group[i] == group[j]) == (expected[i] == expected[j]) for i in range(80) for j in range(80)} == {True}
+
+
+
 def test_mix_reaches_targets(frame):
     rng = random.Random(3)
     rows = [(k, "w " * rng.randrange(50), None, rng.choice(["a", "b", "c", "d", None])) for k in range(300)]
