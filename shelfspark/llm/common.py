@@ -46,11 +46,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, rows: i
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply `work` to Arrow batches of bounded size; it returns one batch each."""
+def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+               limit: int = CHUNK_BYTES) -> DataFrame:
+    """Apply `work` to Arrow batches of at most `limit` bytes of text, one row at least; it returns one batch each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield work(part)
     return df.mapInArrow(run, schema)
 

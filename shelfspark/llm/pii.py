@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import map_slices, with_column
 
 KINDS = ("email", "ip", "card", "phone")
+SLICE_BYTES = 512 << 10  # of text at once, as the code points, token shapes and chains of a slice are all held together
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -337,7 +338,7 @@ def find(docs: DataFrame, crf: Crf) -> DataFrame:
                                            pa.array([joined(s) for _, s in found], pa.string())], ["doc_id", "base", "spans"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(narrow, "text", work, "doc_id long, base string, spans string")
+    return map_slices(narrow, "text", work, "doc_id long, base string, spans string", SLICE_BYTES)
 
 
 def redact_text(text: str, spans: list[Span]) -> str:
@@ -367,4 +368,4 @@ def redact(docs: DataFrame, crf: Crf) -> DataFrame:
             batch = with_column(batch, "n_chars", pa.array(counts, kind))
         return with_column(batch, "text", pa.array(new, batch.schema.field("text").type))
 
-    return map_slices(docs, "text", work, docs.schema)
+    return map_slices(docs, "text", work, docs.schema, SLICE_BYTES)

@@ -199,3 +199,16 @@ def test_slices_cover_all_rows(limit, rows):
     batch = pa.RecordBatch.from_pydict({"text": ["a" * k if k % 7 else None for k in range(40)], "k": list(range(40))})
     parts = list(slices(batch, "text", limit, rows))
     assert [x for p in parts for x in p.column("k").to_pylist()] == list(range(40)) and all(p.num_rows for p in parts)
+
+
+def test_personal_data_takes_bounded_slices():
+    """A full slice of text is searched in a few times its size of memory, far below what 8 MB of text at once took."""
+    import tracemalloc
+    crf = pii.train()
+    text = "write to a.b@c.example or call +49 30 555 0134, room 12 of 45 " * 16
+    texts = [text] * (pii.SLICE_BYTES // len(text))
+    tracemalloc.start()
+    pii.all_spans(texts, crf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
