@@ -232,3 +232,39 @@ def test_panel_is_never_shuffled(spark):
     grid = next(i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line)
     assert first == grid, "an exchange sits above the SKU repartitioning of the panel"
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_panel_partitions_follow_the_cells(spark):
+    """Many SKUs get more partitions than the shuffle width, so that no task sorts more than its share of the panel."""
+    from shelfspark.plans.mart import CELLS_PER_TASK, panel_width
+    from shelfspark.session import shuffle_width
+    per_sku = 2 * 2 * 13
+    assert panel_width(spark.range(3), SCOPE) == shuffle_width(spark)
+    skus = spark.range(20 * CELLS_PER_TASK // per_sku)
+    assert panel_width(skus, SCOPE) == -(-skus.count() * per_sku // CELLS_PER_TASK) > shuffle_width(spark)
+
+
+def test_receipts_are_shuffled_once_for_the_positions(spark):
+    """The weekly sums of the receipts keep the layout by PO line that their join needs."""
+    sources = Sources(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        segments = purchasing.po_segments(sources.erp_purchase_orders, sources.wms_goods_receipts,
+                                          sources.sku_code_mapping, SCOPE)
+        plan = segments._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_week = [line for line in plan.split("\n") if "Exchange" in line and "po_id" in line]
+    assert len(by_week) == 2, "one exchange of the PO lines and one of the receipts"
+
+
+def test_order_lines_are_joined_once(spark):
+    """Tables on staged lines have the same rows, and none of them reads the line items again."""
+    from shelfspark.sources.testbed import Retail
+    folder = "/root/testdata/sf0.001"
+    plain, kept = Retail(spark, folder), Retail(spark, folder, stage_lines=True)
+    for name in ("wms_goods_receipts", "erp_purchase_orders", "oms_sales_orders", "wms_inventory_snapshot"):
+        a, b = getattr(plain, name), getattr(kept, name)
+        assert a.schema.simpleString() == b.schema.simpleString() and a.count() == b.count()
+        assert a.exceptAll(b).isEmpty()
+        assert not any("lineitem" in file for file in b.inputFiles())
