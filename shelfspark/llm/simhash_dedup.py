@@ -154,17 +154,16 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole groups: runs of rows with the same forest, collected to about 100,000 rows."""
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Whole groups: runs of rows that agree in the named columns, collected to about 100,000 rows or 32 MB."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        if sum(b.num_rows for b in held) < 100_000:
+        if sum(b.num_rows for b in held) < 100_000 and sum(b.nbytes for b in held) < 32 << 20:
             continue
         rows = pa.Table.from_batches(held)
-        names = ["forest", "part", "ci", "cj"]
         keys = [rows.column(n).to_numpy() for n in names]
         change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
         if len(change):
@@ -197,7 +196,7 @@ def fingerprint_links(distinct: DataFrame, budget: int = 4, group_rows: int = 40
             .sortWithinPartitions("forest", "part", "ci", "cj"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in whole_groups(batches, ["forest", "part", "ci", "cj"]):
             node, fp = group.column("node").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
             parts = [group.column(n).to_numpy() for n in ("forest", "part", "ci", "cj")]
             change = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1

@@ -139,6 +139,41 @@ def test_near_copies_equal_brute_force(monkeypatch, frame, sample, rounds):
     assert near_copies.keep_one(frame([])).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1])
+def test_near_copies_in_chunks_equal_brute_force(monkeypatch, frame, rounds):
+    """Groups dealt in chunks, near the similarity, so that links fail and are searched again."""
+    monkeypatch.setattr(near_copies, "GROUP_ROWS", 5)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(2000)]
+    rows = []
+    for k in range(4):
+        hub = rng.choices(words, k=120)
+        for j in range(25):
+            text = list(hub)
+            for _ in range(rng.randrange(1, 4)):
+                text[rng.randrange(120)] = rng.choice(words)
+            rows.append((100 * k + j, " ".join(text)))
+    kept = near_copies.keep_one(frame(rows)).collect()
+    assert Counter(r["doc_id"] for r in kept) == _near_copies_by_brute_force(rows)
+
+
+def test_near_copies_verify_a_forest_not_all_pairs(monkeypatch, frame):
+    rng, seen = random.Random(9), []
+    words, rows, size = [f"w{k}" for k in range(5000)], [], 7
+    for k in range(20):
+        hub = rng.choices(words, k=300)
+        for j in range(size):
+            text = list(hub)
+            text[rng.randrange(300)] = "changed"
+            rows.append((10 * k + j, " ".join(text)))
+    verified = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *a: (seen.append(pairs.count()), verified(pairs, *a))[1])
+    kept = near_copies.keep_one(frame(rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [10 * k for k in range(20)]
+    assert sum(seen) < 2 * len(rows)  # all pairs: 420
+
+
 def test_near_copies_begin_with_the_fingerprints_of_the_tries(monkeypatch, frame):
     """Without the exact search, what the tries link and the texts confirm is still dropped, and nothing else."""
     monkeypatch.setattr(near_copies, "linked_rounds", lambda *_: (None, True))
