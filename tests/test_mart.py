@@ -254,3 +254,59 @@ def test_order_lines_are_joined_once(spark):
         assert a.schema.simpleString() == b.schema.simpleString() and a.count() == b.count()
         assert a.exceptAll(b).isEmpty()
         assert not any("lineitem" in file for file in b.inputFiles())
+
+
+def test_lines_and_receipts_are_shuffled_once_by_sku(spark):
+    """In the mart the positions keep the partitioning of the panel: no exchange by line, receipt week or change."""
+    plan = weekly_mart(Sources(spark), SCOPE)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(po_id" not in plan
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning(sku_id" in line]
+    assert not any("center_id" in line.split("plan_id")[0] and "po_id" in line for line in exchanges), plan
+    assert sum("REPARTITION_BY_NUM" in line for line in exchanges) == 3  # the SKUs, the lines and the receipts
+
+
+def test_positions_by_sku_equal_positions_by_line(spark):
+    """The layout changes no row, with repeated lines, missing keys and receipts beyond the confirmed quantity."""
+    from shelfspark.operators.purchasing import po_changes, po_segments
+    mapping = table(spark, "sku_code_mapping", MAPPING)
+    orders = table(spark, "erp_purchase_orders", [
+        dict(po_id="P1"), dict(po_id="P1"), dict(po_id="P2", confirmed_qty=7), dict(po_id=None), dict(po_id="P3"),
+    ])
+    receipts = table(spark, "wms_goods_receipts", [
+        dict(po_id="P1", accepted_qty=1), dict(po_id="P1", accepted_qty=2), dict(po_id="P2", accepted_qty=99),
+        dict(po_id=None, accepted_qty=3),
+    ])
+    by_line = po_segments(orders, receipts, mapping, SCOPE)
+    by_sku = po_segments(orders, receipts, mapping, SCOPE, 5)
+    assert by_line.count() > 0 and by_line.columns == by_sku.columns
+    assert by_line.exceptAll(by_sku).isEmpty() and by_sku.exceptAll(by_line).isEmpty()
+    left, right = po_changes(by_line, SCOPE), po_changes(by_sku, SCOPE)
+    assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def test_lines_are_summed_once(spark):
+    """Weekly sales take one shuffle of sums and one of the mapping, not one by day before."""
+    plan = sales.sales_weekly(
+        table(spark, "oms_sales_orders", [{}]), table(spark, "sku_code_mapping", MAPPING)
+    )._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(oms_sku_code" not in plan or "order_day" not in plan.split("hashpartitioning(oms_sku_code")[1].split(")")[0]
+
+
+def test_codes_are_planned_with_their_own_size(spark):
+    """Staged SKUs and codes are read as written, so joins are planned with their size, not with that of all parts."""
+    from shelfspark.sources.testbed import Retail
+    kept = Retail(spark, "/root/testdata/sf0.001", stage_lines=True)
+    for name in ("sku_master", "sku_code_mapping"):
+        assert not any("part.parquet" in file for file in getattr(kept, name).inputFiles())
+
+
+def test_monday_of_dates_and_times(spark):
+    """Same week starts as truncating the time, also before 1970, at midnight and for NULL."""
+    from shelfspark.functions.columns import monday_of
+    days = spark.sql("""SELECT CAST(d AS timestamp_ntz) + INTERVAL '23' HOUR AS t, d
+                        FROM (SELECT explode(sequence(date '1899-12-20', date '1900-01-10')) AS d
+                              UNION ALL SELECT explode(sequence(date '1969-12-20', date '1970-01-10'))
+                              UNION ALL SELECT date '9999-12-31' UNION ALL SELECT CAST(NULL AS date))""")
+    got = days.select(monday_of("d").alias("a"), monday_of("t").alias("b"),
+                      F.to_date(F.date_trunc("week", "t")).alias("c"))
+    assert got.filter("NOT (a <=> c) OR NOT (b <=> c)").isEmpty()
